@@ -137,3 +137,25 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in any [start, end)."""
     steps = np.bincount(starts, minlength=n + 1).astype(np.int64) - np.bincount(ends, minlength=n + 1)
     return np.cumsum(steps)[:n] > 0
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Which keys are there twice or more."""
+    out = np.zeros(len(keys), bool)
+    if len(keys) > 1:
+        order = np.argsort(keys)
+        same = keys[order][1:] == keys[order][:-1]
+        out[order[1:][same]] = True
+        out[order[:-1][same]] = True
+    return out
+
+
+def in_doc(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes that are equal within a document only."""
+    return mix(h + doc.astype(_U) * _U(0xA24BAED4963EE407))
+
+
+def sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of flags over [at[i], at[i + 1])."""
+    total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
+    return total[at[1:]] - total[at[:-1]]
