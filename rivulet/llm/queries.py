@@ -1,8 +1,13 @@
 """Registered queries of this subpackage, and SQL where it can express them."""
 
-from rivulet.llm import token_store
+from rivulet.llm import licenses, packing, quality, token_store, toxicity, urls
 
 QUERIES = {
+    "op2_license_scan": licenses.query,
+    "op3_pattern_packing": packing.query,
+    "op4_quality_rules": quality.query,
+    "op5_url_filter": urls.query,
     "op6_token_store": token_store.query,
+    "op9_toxicity": toxicity.query,
 }
 ORACLES: dict[str, str] = {}
