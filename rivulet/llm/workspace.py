@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -20,7 +21,16 @@ def scratch(spark: SparkSession) -> str:
             _own.append(tempfile.mkdtemp(prefix="rivulet-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         root = f"file://{_own[0]}"
-    return f"{root}/rivulet-{uuid.uuid4().hex}"
+    path = f"{root}/rivulet-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """At the driver's end; until then results may read the tables."""
+    with contextlib.suppress(Exception):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
