@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and SQL where it can express them."""
 
-from rivulet.llm import licenses, packing, quality, token_store, toxicity, urls
+from rivulet.llm import licenses, lm, packing, quality, substrings, token_store, toxicity, urls
 
 QUERIES = {
     "op2_license_scan": licenses.query,
@@ -8,6 +8,8 @@ QUERIES = {
     "op4_quality_rules": quality.query,
     "op5_url_filter": urls.query,
     "op6_token_store": token_store.query,
+    "op8_substring_dedup": substrings.query,
     "op9_toxicity": toxicity.query,
+    "op10_lattice_lm": lm.query,
 }
 ORACLES: dict[str, str] = {}
