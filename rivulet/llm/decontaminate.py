@@ -78,7 +78,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs with all their columns, without those in which a window of an item occurs."""
     path = scratch(docs.sparkSession)
     hit = materialize(occurrences(docs, benchmark, window, path).select("row_key").distinct(), f"{path}/hit")
-    return docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(hit.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("row_key"))  # columns of any name ride along
+    return rows.join(hit, "row_key", "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,7 +166,8 @@ def dedup(docs: DataFrame, length: int = 35, k: int = 10) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 35, k: int = 10) -> DataFrame:
     """docs with all their columns; texts that lose words become their kept words joined by single spaces, and n_chars follows."""
     schema = docs.schema
-    joined = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(with_marks(docs, length, k), "row_key", "left").drop("row_key")
+    rows = docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.xxhash64("doc_id", "text").alias("row_key"))  # columns of any name ride along
+    joined = rows.join(with_marks(docs, length, k), "row_key", "left").drop("row_key")
 
     def run(batches):
         for batch in batches:
@@ -178,15 +179,13 @@ def without_repeats(docs: DataFrame, length: int = 35, k: int = 10) -> DataFrame
                 if stays is not None:
                     texts[row] = b" ".join(compress(words, stays)).decode()
                     changed[row] = len(texts[row])
-            columns = []
-            for f in schema:
-                c = batch.column(f.name)
-                if f.name == "text":
-                    c = pa.array(texts, c.type)
-                elif f.name == "n_chars" and changed:
-                    c = pa.array([changed.get(i, x) for i, x in enumerate(c.to_pylist())], c.type)
-                columns.append(c)
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            row = batch.column("row")
+            columns = dict(zip([f.name for f in row.type], row.flatten()))
+            columns["text"] = pa.array(texts, batch.column("text").type)
+            if "n_chars" in columns and changed:
+                n = columns["n_chars"]
+                columns["n_chars"] = pa.array([changed.get(i, x) for i, x in enumerate(n.to_pylist())], n.type)
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 

@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, positives: int, unlabe
             words = Words(data, at, ALNUM, lower=True)
             yield {"doc_id": batch.column("doc_id").slice(first, n), "kind": batch.column("kind").slice(first, n), "words": [np.unique(words.hash[a : a + c]).tobytes() for a, c in zip(words.first, words.count)]}
 
-    rows = map_blocks(docs.join(ids, "doc_id").select("doc_id", "kind", "text"), per_batch, "doc_id long, kind int, words binary").collect()
+    rows = map_blocks(docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "kind", "text"), per_batch, "doc_id long, kind int, words binary").collect()
     rows.sort(key=lambda r: (r["kind"], r["doc_id"], r["words"]))
     return fit(*([np.frombuffer(r["words"], np.uint64) for r in rows if r["kind"] == k] for k in (1, 0)), prior=count or 0)
 
