@@ -26,7 +26,8 @@ from rivulet.llm.tokens import encoder
 from rivulet.llm.words import blocks, mix
 from rivulet.llm.workspace import materialize, scratch
 
-WINDOW, LEAST, MASK, MOST = 8, 32, 127, 1024
+WINDOW, LEAST, MASK, MOST = 8, 64, 255, 1024
+MEMO = (600_000, 250_000)
 _U = np.uint64
 
 
@@ -59,7 +60,7 @@ def digest(data: bytes) -> bytes:
 
 def _encode(path: str, end_id: int, width: str):
     def per_batch(batch: pa.RecordBatch):
-        make, seen = encoder(path).encode, set()
+        make, seen = encoder(path, *MEMO).encode, set()
         for first, n, data, at in blocks(batch.column("text")):
             total, counts, digests, after, fresh = [], [], [], [], []
             raw = data.tobytes()

@@ -14,7 +14,8 @@ from functools import lru_cache
 import regex
 from tokenizers import Tokenizer
 
-WORD_MEMO, PIECE_MEMO = 400_000, 150_000
+#: Entries of a generation; an entry takes about 190 bytes, and workers that are used again keep their memos.
+WORD_MEMO, PIECE_MEMO = 200_000, 100_000
 # The splitting patterns of the two public vocabularies.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -51,7 +52,7 @@ class Memo(dict):
 class Encoder:
     """encode(text): the ids as little-endian unsigned 32-bit integers. Strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORD_MEMO, pieces: int = PIECE_MEMO):
         spec = json.load(open(path, encoding="utf-8"))
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -60,8 +61,8 @@ class Encoder:
         parts = split.get("pretokenizers") or [{}]
         byte_level = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and normal is None
         word_end = parts[0].get("pattern", {}).get("Regex") == WORD_END.pattern and [x["type"] for x in (normal or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-        self.pieces = Memo(self._piece, PIECE_MEMO)
-        self.words = Memo(self._spaced if byte_level else self._word, WORD_MEMO)
+        self.pieces = Memo(self._piece, pieces)
+        self.words = Memo(self._spaced if byte_level else self._word, words)
         self.encode = self._encode_spaced if byte_level else self._encode_words if word_end else self._whole
 
     def _whole(self, text: str) -> bytes:
@@ -110,5 +111,5 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, words: int = WORD_MEMO, pieces: int = PIECE_MEMO) -> Encoder:
+    return Encoder(path, words, pieces)
