@@ -1,13 +1,14 @@
 """MinHash near-duplicates with tensored banding.
 
 ``sides`` keys of ``rows`` minhashes are drawn twice; every pair of a left and a right key is the key of one table, so
-sides ** 2 tables of 2 * rows minhashes each need 2 * sides * rows minhashes in all. With 8 and 3, a pair at the
-similarity of 0.85 shares a table with a probability of 0.999, at 0.9 of 0.9999.
+sides ** 2 tables of 2 * rows minhashes each need 2 * sides * rows minhashes in all. With 10 and 3, a pair at the
+similarity of 0.85 shares a table with a probability of 0.9998.
 
 1. Texts with equal sets form a class, and only its least document goes on.
 2. In every table's bucket each member is compared with the least one. Links are confirmed on full sets.
-3. Where a bucket still holds documents of different components, just the pairs across components are compared.
-4. Components come from star steps over the links.
+3. The same with each bucket's member that has the most links so far, which is close to a group's middle.
+4. Where a bucket still holds documents of different components, pairs across components are compared that a prefix filter lets pass.
+5. Components come from star steps over the links.
 
 No bucket is capped, and none is gathered in one place: sets are compared in lots of bounded size.
 
@@ -29,7 +30,7 @@ from rivulet.llm.words import Words, blocks, mix, per_doc_sum, signed
 from rivulet.llm.workspace import materialize, scratch
 
 _U = np.uint64
-SHINGLE, ROWS, SIDES = 5, 3, 8
+SHINGLE, ROWS, SIDES = 5, 3, 10
 _SEEDS = np.random.default_rng(85).integers(0, 2**63, (2 * SIDES, ROWS), dtype=np.uint64) * _U(2) + _U(1)
 _NAMES = [f"{side}{i}" for side in "lr" for i in range(SIDES)]
 LOT = 200_000
@@ -78,13 +79,14 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_blocks(docs.select("doc_id", "text"), per_batch, "doc_id long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{x} long" for x in _NAMES))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, part: int, whole: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, part: int, whole: int, path: str) -> DataFrame:
     """Pairs (a, b) whose sets have part * |union| <= whole * |intersection|; texts: doc_id, n_shingles, text.
 
     Pairs lie under a; its partners are dealt into lots by size, and each lot gets a's text once.
     """
     sized = pairs.join(texts.select(F.col("doc_id").alias("b"), "n_shingles", "text"), "b")
     weights = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m")), "b").groupBy("a").agg(F.ceil(F.sum("m") / LOT).alias("lots"))
+    weights = materialize(weights, path)  # so that the next join reads plain shuffles, and a hot a can be split
     right = sized.join(weights, "a").select("a", F.pmod(F.xxhash64("b"), "lots").alias("lot"), F.col("b").alias("doc_id"), "text")
     left = weights.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("a").alias("doc_id"), "text")
 
@@ -105,6 +107,34 @@ def confirmed(pairs: DataFrame, texts: DataFrame, part: int, whole: int) -> Data
     return left.unionAll(right).groupBy("a", "lot").applyInArrow(compare, "a long, b long")
 
 
+def pairs_across(docs: DataFrame, texts: DataFrame, part: int, whole: int, path: str) -> DataFrame:
+    """Pairs (a, b) of different components among docs (doc_id, n_shingles, component) that the sizes and prefixes of their sets let pass.
+
+    Shingles are ordered by rarity among docs. With o the shingles that a pair must share, the first one that both have must leave at least o in
+    either set, itself included. Shingles of one document only come first and take places, but join nothing: near copies with more edits than the
+    threshold bears have used up their places by then, so a large group of them makes no pairs.
+    """
+
+    def spread(batch: pa.RecordBatch):
+        for first, n, data, at in blocks(batch.column("text")):
+            doc, h = shingle_sets(Words(data, at, lower=True))
+            yield {"doc_id": batch.column("doc_id").slice(first, n).take(pa.array(doc)), "shingle": signed(h)}
+
+    own = docs.select("doc_id").join(texts.select("doc_id", "text"), "doc_id").select("doc_id", "text")
+    every = materialize(map_blocks(own, spread, "doc_id long, shingle long"), f"{path}/shingles")
+    often = materialize(every.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), f"{path}/often")
+    ordered = every.join(often, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
+    alone = F.col("n_shingles") - F.size("s")
+    places = F.col("n_shingles") - F.ceil(F.lit(part) * F.col("n_shingles") / whole) + 1
+    prefix = docs.join(ordered, "doc_id").select("doc_id", "n_shingles", "component", alone.alias("alone"), F.slice("s", 1, F.greatest(places - alone, F.lit(0)).cast("int")).alias("s"))
+    prefix = prefix.select("doc_id", "n_shingles", "component", "alone", F.posexplode("s").alias("i", "t")).select("doc_id", "n_shingles", "component", (F.col("alone") + F.col("i")).alias("place"), F.col("t.shingle").alias("shingle"))
+    prefix = materialize(prefix, f"{path}/prefix")
+    x = prefix.select("shingle", F.col("doc_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("ca"), F.col("place").alias("pa"))
+    y = prefix.select("shingle", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("component").alias("cb"), F.col("place").alias("pb"))
+    shared = F.expr(f"least(m - pa, n - pb) * {part + whole} >= {part} * (m + n) and {whole} * least(m, n) >= {part} * greatest(m, n)")
+    return x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & shared).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, part: int = 85, whole: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; documents with whole * |intersection| >= part * |union| are linked."""
     path = scratch(docs.sparkSession)
@@ -114,27 +144,36 @@ def near_duplicates(docs: DataFrame, part: int = 85, whole: int = 100) -> DataFr
     classes = materialize(classes, f"{path}/classes")
     tables = F.array(*[F.xxhash64(F.lit(i * SIDES + j), f"l{i}", f"r{j}") for i in range(SIDES) for j in range(SIDES)])
     keys = classes.where("doc_id is not null").select("doc_id", "n_shingles", F.explode(tables).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a")).where("n > 1").select("key", "a")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = materialize(keys.join(shared, "key"), f"{path}/members")
     sizes = members.select("doc_id", "n_shingles").distinct()
     texts = docs.where("doc_id is not null").select("doc_id", "text").join(sizes, "doc_id").dropDuplicates(["doc_id"])
     texts = materialize(texts, f"{path}/texts")
 
-    lead = members.select("doc_id", "n_shingles", "a").where("doc_id != a").distinct()
-    lead = lead.join(sizes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("m")), "a")
     fits = F.expr(f"{whole} * least(n_shingles, m) >= {part} * greatest(n_shingles, m)")
-    first = materialize(lead.where(fits).select("a", F.col("doc_id").alias("b")), f"{path}/first")
-    links = materialize(confirmed(first, texts, part, whole), f"{path}/links1")
+    compared = links = None
+    placed = members.withColumn("component", F.col("doc_id"))
+    for k in (1, 2):
+        if k == 1:
+            leader = members.groupBy("key").agg(F.min("doc_id").alias("a"))
+        else:
+            degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("d"))
+            leader = members.join(degree, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("d", -F.col("doc_id"))).alias("a"))
+        led = placed.join(leader, "key").where("doc_id != a").select("a", F.col("doc_id").alias("b"), "n_shingles", F.col("component").alias("cb")).distinct()
+        ends = placed.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("ca")).distinct()
+        pairs = led.join(ends, "a").where(fits & (F.col("ca") != F.col("cb"))).select("a", "b")
+        pairs = materialize(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), f"{path}/pairs{k}")
+        compared = pairs if compared is None else compared.unionAll(pairs)
+        found = materialize(confirmed(pairs, texts, part, whole, f"{path}/lots{k}"), f"{path}/links{k}")
+        links = found if links is None else links.unionAll(found)
+        linked = components(links, f"{path}/star{k}")
+        placed = materialize(members.join(linked, members.doc_id == linked.node, "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")), f"{path}/placed{k}")
 
-    linked = components(links, f"{path}/star")
-    placed = members.join(linked, members.doc_id == linked.node, "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     open_ = materialize(placed.join(mixed, "key"), f"{path}/open")
-    x = open_.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("ca"))
-    y = open_.select("key", F.col("doc_id").alias("b"), "n_shingles", F.col("component").alias("cb"))
-    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
-    second = materialize(across.join(first, ["a", "b"], "left_anti"), f"{path}/second")
-    links = links.unionAll(confirmed(second, texts, part, whole))
+    across = pairs_across(open_.select("doc_id", "n_shingles", "component").distinct(), texts, part, whole, path)
+    rest = materialize(across.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), f"{path}/rest")
+    links = links.unionAll(confirmed(rest, texts, part, whole, f"{path}/lots"))
 
     linked = materialize(components(links, f"{path}/all"), f"{path}/linked")
     whole_class = classes.select(*group, "doc_id").join(linked, F.col("doc_id") == F.col("node"), "left").select(*group, F.coalesce("component", "doc_id").alias("component_id"))
