@@ -19,17 +19,25 @@ from rivulet.llm.workspace import materialize, scratch
 
 #: Anchors are broadcast up to this many words of all items together; beyond it the joins shuffle.
 BROADCAST_WORDS = 500_000
-_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _lower(c: Column) -> Column:
+    """A-Z in lower case. Where every character is one byte, lower() does just that and is faster."""
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def _words() -> Column:
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(_PATTERN), F.lit(0)).alias("words")
+    """The words as they are; they are lower-cased one by one, where they are compared."""
+    return F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)).alias("words")
+
+
+def _sequence(words: Column) -> Column:
+    return _lower(F.array_join(words, " "))
 
 
 def anchors(items: DataFrame, doc_words: DataFrame, window: int, small: bool) -> DataFrame:
     """word, item, item_id, place (of the word in the item), lo, hi (first words of the anchor's windows), size (of a window)."""
-    there = items.select("item", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
+    there = items.select("item", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("place", "word")).withColumn("word", _lower(F.col("word")))
     vocabulary = there.select("word").distinct()
     counts = doc_words.join(F.broadcast(vocabulary) if small else vocabulary, "word").groupBy("word").agg(F.count("*").alias("c"))
     rarest = F.min(F.struct("c", "word", "place")).over(Window.partitionBy("item").orderBy("place").rowsBetween(0, window - 1))
@@ -39,37 +47,51 @@ def anchors(items: DataFrame, doc_words: DataFrame, window: int, small: bool) ->
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int, path: str) -> DataFrame:
-    """row_key, item_id, a, b: words [a, b) of the document lie in occurrences of the item's windows."""
+    """doc_id, row_key, item_id, a, b: words [a, b) of the document lie in an occurrence of the item's window; and for each row of docs one row
+    whose b is null and whose a is the number of words. Written as a table."""
     items = benchmark.select("item_id", "text").distinct().select(F.xxhash64("item_id", "text").alias("item"), "item_id", _words()).where(F.size("words") > 0)
     small = (items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first()["n"]) <= BROADCAST_WORDS
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), _words())
-    found = materialize(anchors(items, texts.select(F.explode("words").alias("word")), window, small), f"{path}/anchors")
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), _words())
+    found = materialize(anchors(items, texts.select(F.explode("words").alias("word")).select(_lower(F.col("word")).alias("word")), window, small), f"{path}/anchors")
     contents = items.select("item", F.col("words").alias("item_words"))
+    placed = lambda words: [F.posexplode(words).alias("p", "word")]
     if small:
-        pairs = texts.select("row_key", "words", F.posexplode("words").alias("p", "word")).join(F.broadcast(found.join(contents, "item")), "word")
+        # an empty word behind the last one meets an anchor of its own and counts the words, so texts are cut into words once
+        end = docs.sparkSession.createDataFrame([("", 0, 0, 0, 0)], "word string, size int, at int, lo int, hi int")
+        table = found.join(contents, "item").unionByName(end, allowMissingColumns=True)
+        exploded = texts.select("doc_id", "row_key", "words", *placed(F.array_append("words", F.lit(""))))
+        pairs = exploded.withColumn("word", _lower(F.col("word"))).join(F.broadcast(table), "word")
     else:
-        pairs = texts.select("row_key", F.posexplode("words").alias("p", "word")).join(found, "word").join(contents, "item").join(texts, "row_key")
+        exploded = texts.select("row_key", *placed(F.col("words"))).withColumn("word", _lower(F.col("word")))
+        pairs = exploded.join(found, "word").join(contents, "item").join(texts.dropDuplicates(["row_key"]), "row_key")
     # A window of two words or more holds a neighbour of its anchor's word. All up to the comparison stays in one generated stage, so
     # only occurrences become rows, and none carries a document's words.
-    at, p = F.col("at"), F.col("p")
-    near = (F.col("size") == 1) | (F.get("words", p + 1) == F.get("item_words", at + 1)) | (F.get("words", p - 1) == F.get("item_words", at - 1))
+    at, p, last = F.col("at"), F.col("p"), F.col("size") == 0
+    same = lambda i: _lower(F.get("words", p + i)) == _lower(F.get("item_words", at + i))
     lo, hi = F.greatest(F.col("lo"), at - p), F.least(F.col("hi"), F.size("words") - F.col("size") - p + at)
-    windows = pairs.where(near & (lo <= hi)).select("row_key", "item_id", "size", "words", "item_words", (p - at).alias("shift"), F.explode(F.sequence(lo, hi)).alias("s"))
-    equal = F.slice("words", F.col("s") + F.col("shift") + 1, F.col("size")) == F.slice("item_words", F.col("s") + 1, F.col("size"))
-    return windows.where(equal).select("row_key", "item_id", (F.col("s") + F.col("shift")).alias("a"), (F.col("s") + F.col("shift") + F.col("size")).alias("b")).distinct()
+    windows = pairs.where(last | ((F.col("size") == 1) | same(1) | same(-1)) & (lo <= hi))
+    windows = windows.select("doc_id", "row_key", "item_id", "size", "words", "item_words", "p", (p - at).alias("shift"), F.explode(F.when(last, F.sequence(F.lit(0), F.lit(0))).otherwise(F.sequence(lo, hi))).alias("s"))
+    s, size = F.col("s"), F.col("size")
+    equal = _sequence(F.slice("words", s + F.col("shift") + 1, size)) == _sequence(F.slice("item_words", s + 1, size))
+    a = F.when(last, p).otherwise(s + F.col("shift"))
+    out = windows.where(last | equal).select("doc_id", "row_key", "item_id", a.alias("a"), F.when(~last, a + size).alias("b"))
+    if not small:
+        out = out.unionByName(texts.select("doc_id", "row_key", F.lit(None).cast("long").alias("item_id"), F.size("words").alias("a"), F.lit(None).cast("int").alias("b")))
+    return materialize(out, f"{path}/occurrences")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     path = scratch(docs.sparkSession)
-    hits = materialize(occurrences(docs, benchmark, window, path), f"{path}/hits")
+    rows = occurrences(docs, benchmark, window, path)
+    hits = rows.where("b is not null").select("row_key", "item_id", "a", "b").distinct()
     before = F.max("b").over(Window.partitionBy("row_key").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
     spans = hits.select("row_key", "a", "b").distinct().withColumn("before", F.coalesce(before, F.lit(0)))
     n_hit = spans.groupBy("row_key").agg(F.sum(F.greatest(F.col("b") - F.greatest("a", "before"), F.lit(0))).alias("n_hit"))
     items = hits.groupBy("row_key").agg(F.collect_set("item_id").alias("ids"))
     listed = F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ",")
     found = n_hit.join(items, "row_key").select("row_key", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"))
-    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), _words()).select("doc_id", "row_key", F.size("words").cast("long").alias("n_words"))
+    own = rows.where("b is null").select("doc_id", "row_key", F.col("a").cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
     return own.join(found, "row_key", "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"))
 
@@ -77,7 +99,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs with all their columns, without those in which a window of an item occurs."""
     path = scratch(docs.sparkSession)
-    hit = materialize(occurrences(docs, benchmark, window, path).select("row_key").distinct(), f"{path}/hit")
+    hit = occurrences(docs, benchmark, window, path).where("b is not null").select("row_key").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("row_key"))  # columns of any name ride along
     return rows.join(hit, "row_key", "left_anti").select("row.*")
 
