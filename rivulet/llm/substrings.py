@@ -83,9 +83,12 @@ def _marks(words: Words, column: pa.ListArray) -> tuple[np.ndarray, np.ndarray,
 def marked(docs: DataFrame, length: int, k: int, path: str) -> DataFrame:
     """row_key, marks of the documents that have repeated stretches, or stretches whose windows have to be counted."""
     every = materialize(anchors(docs, length, k), f"{path}/anchors")
+    # Aggregates are written first, so that joins read plain shuffles and adaptive execution can split a hot anchor.
     often = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("stretch") != F.max("stretch")).alias("varied")).where("n > 1")
-    seeds = materialize(every.join(often.drop("n"), "anchor"), f"{path}/seeds")
+    often = materialize(often.drop("n"), f"{path}/often")
+    seeds = materialize(every.join(often, "anchor"), f"{path}/seeds")
     kinds = seeds.where("varied").groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min("row_key").alias("one"))
+    kinds = materialize(kinds, f"{path}/kinds")
     varied = seeds.where("varied").join(kinds, ["anchor", "stretch"]).select("row_key", "first", "more", (F.col("n") > 1).alias("repeated"), (F.col("row_key") == F.col("one")).alias("counted"))
     same = seeds.where("not varied").select("row_key", "first", "more", F.lit(True).alias("repeated"), F.lit(False).alias("counted"))
     return varied.unionAll(same).groupBy("row_key").agg(F.collect_list(_mark()).alias("marks"))
@@ -112,7 +115,7 @@ def with_marks(docs: DataFrame, length: int, k: int) -> DataFrame:
     marks = materialize(marked(docs, length, k, path), f"{path}/marks")
     texts = keyed(docs)
     windows = materialize(windows_of(texts.join(marks, "row_key"), length), f"{path}/windows")
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    again = materialize(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), f"{path}/again")
     singles = windows.where("open").join(again, "window").groupBy("row_key").agg(F.collect_set("first").alias("singles"))
     return marks.join(singles, "row_key", "left")
 
