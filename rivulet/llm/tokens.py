@@ -107,7 +107,11 @@ class Encoder:
     def _encode_words(self, text: str) -> bytes:
         if _SEPARATORS.search(text):
             return self._whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        try:
+            text.encode("latin-1")  # there the vocabulary's normal form is lower case, which saves words' variants
+        except UnicodeEncodeError:
+            return b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
 @lru_cache(maxsize=4)
