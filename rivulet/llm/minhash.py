@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.arrow import map_blocks
@@ -182,11 +182,31 @@ def near_duplicates(docs: DataFrame, part: int = 85, whole: int = 100) -> DataFr
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """docs with all their columns: of each component one document, and all rows without words."""
+def one_of_each(docs: DataFrame, nulls_stay: bool = True, **params) -> DataFrame:
+    """docs with all their columns: of each component one row, and all rows without words.
+
+    Rows are told apart by doc_id and text, so a doc_id given with two texts is two documents. The row with the least doc_id stays, one without
+    a doc_id only where none has one; of equal rows the one whose columns come first as JSON. With ``nulls_stay`` rows without a doc_id
+    all stay besides.
+    """
     path = scratch(docs.sparkSession)
-    gone = materialize(near_duplicates(docs, **params).where("not kept and doc_id is not null").select("doc_id").distinct(), f"{path}/gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = F.xxhash64("doc_id", "text").alias("row_key")
+    ids = docs.select(key, "doc_id").groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    found = near_duplicates(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), **params)
+    found = found.where("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    placed = materialize(found.join(ids, "row_key"), f"{path}/placed")
+    # written first, so that the next join reads plain shuffles and a large component can be split
+    first = materialize(placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best")).select("component_id", F.col("best.row_key").alias("best")), f"{path}/first")
+    decided = (placed.where("doc_id is not null") if nulls_stay else placed).join(first, "component_id")
+    gone = materialize(decided.where("row_key != best").select("row_key"), f"{path}/gone")
+    again = materialize(decided.where("row_key = best and n > 1").select("row_key"), f"{path}/again")
+    rows = docs.select(F.struct("*").alias("row"), key)  # columns of any name ride along
+    out = rows.join(gone, "row_key", "left_anti")
+    if again.isEmpty():
+        return out.select("row.*")
+    place = F.row_number().over(Window.partitionBy("row_key").orderBy(F.to_json("row")))
+    single = out.join(again, "row_key").withColumn("place", place).where("place = 1")
+    return out.join(again, "row_key", "left_anti").select("row.*").unionAll(single.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

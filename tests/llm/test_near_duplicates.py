@@ -3,6 +3,7 @@ import random
 import pytest
 from plain import components, rows_of
 
+import corpus_pipeline
 from rivulet.llm import graph, minhash
 
 
@@ -41,6 +42,23 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     assert rows_of(minhash.one_of_each(docs), "doc_id") == sorted([(8,), (None,), (None,)], key=str)
 
 
+def test_one_row_of_each_component(spark):
+    """Repeated rows, rows without a doc_id, and a doc_id given with two texts, all with their columns."""
+    same, other, third = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(8, same, 2, [1]), (8, same, 1, [1]), (8, same, 1, [1]), (9, same, 1, [1]), (None, same, 1, [1])]
+    rows += [(3, same, 5, [2]), (3, other, 6, [2]), (7, other, 7, [2]), (7, third, 8, [2])]
+    rows += [(None, "z", 1, [3]), (None, "z", 1, [3]), (None, " ", 1, [4]), (None, " ", 1, [4]), (5, None, 1, [4]), (5, None, 1, [4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key int, row array<int>")
+    got = minhash.one_of_each(docs, nulls_stay=False)
+    assert got.columns == docs.columns
+    want = [(3, same, 5, [2]), (3, other, 6, [2]), (7, third, 8, [2]), (None, "z", 1, [3]), *rows[-4:]]
+    assert rows_of(got, *docs.columns) == sorted(want, key=str)
+    repeated = docs.where("doc_id in (8, 9) or doc_id is null")
+    want = [(8, same, 1, [1]), (None, "z", 1, [3]), (None, " ", 1, [4]), (None, " ", 1, [4])]
+    assert rows_of(minhash.one_of_each(repeated, nulls_stay=False), *docs.columns) == sorted(want, key=str)
+    assert rows_of(corpus_pipeline.drop_near_duplicates(spark, repeated, ""), *docs.columns) == sorted(want, key=str)
+
+
 def test_star_steps(spark, tmp_path):
     rnd = random.Random(7)
     links = [(i, i + 1) for i in range(200)] + [(300, 300 + i) for i in range(1, 80)] + [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(70)]
