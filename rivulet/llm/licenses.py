@@ -3,6 +3,7 @@
 Exact places come from hashes of consecutive words. For places with up to k edits, each phrase is split into k + 1 seeds: one of
 them must be there unchanged (pigeonhole), so ``bytes.find`` locates candidates in the text with its words joined by
 single spaces, and the regex library's bounded-error matching verifies them and gives spans. A match starts and ends at words' borders.
+Matches of one phrase don't overlap: those with fewer edits come first, of equals the leftmost, and what is left beside them is searched on.
 
 Defined results: a null or empty text has no words; rows given twice get equal results; a null doc_id is kept; an empty table
 gives an empty result.
@@ -35,7 +36,8 @@ class _Phrase:
         self.label, self.edits, self.size = label, edits, len(phrase.encode())
         self.hashes = Words(*buffers(pa.array([phrase])), ALNUM).hash
         self.seeds = seeds(phrase, edits)
-        self.pattern = regex.compile(b"(?b)(?<![^ ])(?:" + regex.escape(phrase.encode()) + b"){e<=%d}(?![^ ])" % edits)
+        self.patterns = [regex.compile(b"(?<![^ ])(?:" + regex.escape(phrase.encode()) + b")" + (b"{e<=%d}" % e if e else b"") + b"(?![^ ])") for e in range(edits + 1)]
+        self.pattern = self.patterns[-1]
 
     def exact(self, words: Words) -> np.ndarray:
         """First words of the places where the phrase's words stand consecutively in a document."""
@@ -47,7 +49,7 @@ class _Phrase:
 
     def fuzzy(self, text: bytes) -> list[tuple[int, int, int]]:
         """(start, end, edits) in a text with its words joined by single spaces."""
-        regions: list[list[int]] = []
+        regions: list = []
         hits = set()
         for seed, offset in self.seeds:
             at = text.find(seed)
@@ -62,7 +64,17 @@ class _Phrase:
                 regions[-1][1] = max(regions[-1][1], hi)
             else:
                 regions.append([lo, hi])
-        return [(*m.span(), sum(m.fuzzy_counts)) for lo, hi in regions for m in self.pattern.finditer(text, lo, hi)]
+        found = []
+        for pattern in self.patterns:  # a pass over what is left for each number of edits
+            left = []
+            for lo, hi in regions:
+                for m in pattern.finditer(text, lo, hi):
+                    found.append((*m.span(), sum(m.fuzzy_counts)))
+                    left.append((lo, m.start() - 1))  # up to the space before the match
+                    lo = m.end() + 1
+                left.append((lo, hi))
+            regions = [(lo, hi) for lo, hi in left if lo < hi]
+        return sorted(found)
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,word:long,edits:int,text:string>>"

@@ -48,6 +48,26 @@ def test_seeds_find_every_match_within_the_bound():
                 assert p.fuzzy(b"left " + text.encode() + b" right"), text
 
 
+def test_neighbouring_notices_are_all_found(spark):
+    p = licenses._Phrase("mit license", "mit", 1)
+    for text, want in [
+        ("mit licens mit license", [(0, 10, 1), (11, 22, 0)]),
+        ("mit license mit licens", [(0, 11, 0), (12, 22, 1)]),
+        ("mit licens or mit license", [(0, 10, 1), (14, 25, 0)]),
+        ("mit licens mit lcense mit license mt license mit license", [(0, 10, 1), (11, 21, 1), (22, 33, 0), (34, 44, 1), (45, 56, 0)]),
+        ("mit licens " * 3000 + "mit license", [(11 * i, 11 * i + 10, 1) for i in range(3000)] + [(33000, 33011, 0)]),
+    ]:
+        assert p.fuzzy(text.encode()) == want
+    g = licenses._Phrase("general public license", "gpl", 3)
+    texts = ["genral public licens", "general publc license", "general public license", "gneral pblic licnse"]
+    rnd = random.Random(8)
+    for _ in range(100):
+        own = [rnd.choice(texts) for _ in range(rnd.randint(1, 6))]
+        assert [(text, e) for a, b, e in g.fuzzy(" ".join(own).encode()) for text in [" ".join(own)[a:b]]] == [(x, {0: 2, 1: 1, 2: 0, 3: 3}[texts.index(x)]) for x in own]
+    rows = licenses.find_licenses(spark.createDataFrame([(1, "Mit Licens, mit license; apach license or apache license")], "doc_id long, text string")).collect()
+    assert [(x.label, x.word, x.edits) for x in rows[0].spans] == [("mit", 0, 1), ("mit", 2, 0), ("apache", 4, 1), ("apache", 7, 0)]
+
+
 def test_quality_base_and_verdicts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a b\n\na b\n a b\na b"), (None, "# x " * 30), (-3, "a b\n\na b\n a b\na b"), (-4, "w " * 20000)], docs.schema)
