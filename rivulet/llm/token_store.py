@@ -177,13 +177,17 @@ def verify(spark: SparkSession, path: str) -> None:
         raise ValueError("the recipes differ from the manifest")
 
 
+def _damaged(kind: str) -> F.Column:
+    return F.raise_error(F.lit("a stored chunk is missing, or there twice")).cast(kind)
+
+
 def read_summary(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files. crc32 is linear, so chunks' values combine without moving ids."""
     verify(spark, path)
     bases = spark.read.parquet(f"{path}/manifest").select("shard", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("base"))
     recipes = spark.read.parquet(f"{path}/recipes")
     refs = recipes.select("shard", "place", F.explode(F.arrays_zip("digests", "after")).alias("c")).select("shard", "place", F.col("c.digests").alias("digest"), F.col("c.after").alias("after"))
-    parts = refs.join(read_chunks(spark, path, width), "digest")
+    parts = refs.join(read_chunks(spark, path, width), "digest", "left").withColumn("ids_crc32", F.coalesce("ids_crc32", _damaged("long")))
 
     def shift(batch: pa.RecordBatch):
         out = crc_shifted(batch.column("ids_crc32").to_numpy(), batch.column("after").to_numpy())
@@ -193,15 +197,17 @@ def read_summary(spark: SparkSession, path: str, width: str = "<u2") -> DataFram
     sums = sums.groupBy("shard", "place").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("n").alias("read_tokens"))
     small = recipes.select("shard", "place", "doc_id", "local_start", "n_tokens")
     out = small.join(sums, ["shard", "place"]).join(F.broadcast(bases), "shard")  # a row for each shard
-    return out.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), F.col("read_tokens").alias("n_tokens"), "ids_crc32")
+    return out.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), F.when(F.col("read_tokens") == F.col("n_tokens"), F.col("n_tokens")).otherwise(_damaged("long")).alias("n_tokens"), "ids_crc32")
 
 
 def read_ids(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
     """doc_id, row_key, data: each document's ids as stored, rebuilt from its recipe."""
     recipes = spark.read.parquet(f"{path}/recipes")
-    refs = recipes.select("shard", "place", "doc_id", "row_key", F.posexplode("digests").alias("i", "digest")).join(spark.read.parquet(f"{path}/chunks"), "digest")
-    own = refs.groupBy("shard", "place", "doc_id", "row_key").agg(F.sort_array(F.collect_list(F.struct("i", "data"))).alias("c"))
-    return own.select("doc_id", "row_key", F.aggregate("c.data", F.lit(b""), lambda a, x: F.concat(a, x)).alias("data"))
+    refs = recipes.select("shard", "place", "doc_id", "row_key", "n_tokens", F.posexplode("digests").alias("i", "digest")).join(spark.read.parquet(f"{path}/chunks"), "digest", "left")
+    own = refs.groupBy("shard", "place", "doc_id", "row_key", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("i", "data"))).alias("c"))
+    own = own.select("doc_id", "row_key", "n_tokens", F.aggregate("c.data", F.lit(b""), lambda a, x: F.concat(a, x)).alias("data"))
+    full = F.length("data") == F.col("n_tokens") * np.dtype(width).itemsize
+    return own.select("doc_id", "row_key", F.when(full, F.col("data")).otherwise(_damaged("binary")).alias("data"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.errors import PySparkException
 from tokenizers import Tokenizer
 
 from rivulet.llm import packing, token_store
@@ -66,6 +67,18 @@ def test_store_notices_damage(spark, tmp_path):
         token_store.verify(spark, path)
 
 
+def test_reading_notices_lost_and_doubled_chunks(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(docs(spark)[1], path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    rows, schema = chunks.collect(), chunks.schema
+    for own in (rows[1:], rows[:1], [*rows, rows[0]]):
+        spark.createDataFrame(own, schema).write.mode("overwrite").parquet(f"{path}/chunks")
+        for read in (token_store.read_summary, token_store.read_ids):
+            with pytest.raises(PySparkException, match="missing"):
+                read(spark, path).collect()
+
+
 def test_empty_store(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     token_store.write_store(docs(spark)[1].limit(0), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
