@@ -15,7 +15,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Entries of a generation; an entry takes about 190 bytes, and workers that are used again keep their memos.
-WORD_MEMO, PIECE_MEMO = 200_000, 100_000
+WORD_MEMO, PIECE_MEMO = 400_000, 100_000
 # The splitting patterns of the two public vocabularies.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -23,13 +23,19 @@ WORD_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{
 #: Below U+0130 no character changes by NFC and lower-casing is the same everywhere.
 _PLAIN = re.compile("[\x00-į]*")
 #: White space for Python, but not for the patterns.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_OTHER_SPACES = [chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_ASCII_SPACES = "\t\x0b\x0c\r"
+_OTHER_SPACES = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _SPACED_PIECES = re.compile(r"\s*\S+|\s+$")
 _printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_printable))}
 
 
+def _any(chars: str, text: str) -> bool:
+    """Whether any of the characters is in the text; a plain search for each is faster than a pattern."""
+    return any(c in text for c in chars)
+
+
 class Memo(dict):
     """make(key), remembered for the keys of the last generations."""
 
@@ -76,7 +82,7 @@ class Encoder:
         """text without white space, but for one leading space of a byte-level vocabulary."""
         body = text[1:] if text[:1] == " " else text
         if body.isalpha():
-            return self.pieces[text]
+            return self._piece(text)  # a piece of its own is remembered as a word
         if body[:-1].isalpha() and body[-1] in ".,":
             return self.pieces[text[:-1]] + self.pieces[body[-1]]
         if text.isascii() or _PLAIN.fullmatch(text):
@@ -90,10 +96,10 @@ class Encoder:
         return self.pieces["\n"] + self._split(part[1:], BYTE_LEVEL) if part[1:] and not part[1].isspace() else self._whole(part)
 
     def _encode_spaced(self, text: str) -> bytes:
-        if _SEPARATORS.search(text):
+        if _any(_SEPARATORS, text):
             return self._whole(text)
         parts = text.replace("\n", " \n").split(" ")
-        if len(parts) == len(text.split()) and not any(x in text for x in _OTHER_SPACES):  # single spaces and line ends only, none at either end
+        if len(parts) == len(text.split()) and not _any(_ASCII_SPACES, text) and (text.isascii() or not _any(_OTHER_SPACES, text)):  # single spaces and line ends only, none at either end
             return self._split(parts[0], BYTE_LEVEL) + b"".join(map(self.words.__getitem__, parts[1:]))
         found = _SPACED_PIECES.findall(text)
         if not found:
@@ -105,7 +111,7 @@ class Encoder:
         return self._split(word.lower(), WORD_END) if word.isascii() or _PLAIN.fullmatch(word) else self._whole(word)
 
     def _encode_words(self, text: str) -> bytes:
-        if _SEPARATORS.search(text):
+        if _any(_SEPARATORS, text):
             return self._whole(text)
         try:
             text.encode("latin-1")  # there the vocabulary's normal form is lower case, which saves words' variants
