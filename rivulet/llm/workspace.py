@@ -4,30 +4,31 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
-
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests), under a temporary folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="rivulet-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        root = f"file://{_own[0]}"
-    path = f"{root}/rivulet-{uuid.uuid4().hex}"
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, under the warehouse, which driver and executors share as well."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/rivulet-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
     return path
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """A folder for tables that are read no more once the block has ended."""
+    path = scratch(spark)
+    try:
+        yield path
+    finally:
+        _drop(spark, path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
-    """At the driver's end; until then results may read the tables."""
+    """At the driver's end, if not before; until then results may read the tables."""
     with contextlib.suppress(Exception):
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -79,6 +79,51 @@ def test_reading_notices_lost_and_doubled_chunks(spark, tmp_path):
                 read(spark, path).collect()
 
 
+@pytest.mark.parametrize("change", ["after", "local_start", "order", "missing", "doc_id"])
+def test_changed_recipes_are_noticed(spark, tmp_path, change):
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(docs(spark)[1], path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    recipes = spark.read.parquet(f"{path}/recipes")
+    rows, schema = [r.asDict() for r in recipes.orderBy("shard", "place").collect()], recipes.schema
+    if change == "after":
+        rows[-1]["after"] = [x + 1 for x in rows[-1]["after"]]
+    elif change == "local_start":
+        rows[-1]["local_start"] += 1
+    elif change == "order":
+        rows[-1]["place"], rows[-2]["place"] = rows[-2]["place"], rows[-1]["place"]
+    elif change == "missing":
+        rows.pop()
+    else:
+        rows[-1]["doc_id"] = 10**6
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/recipes")
+    for read in (token_store.read_summary, token_store.read_ids):
+        with pytest.raises(ValueError, match="manifest"):
+            read(spark, path)
+
+
+def test_changed_chunks_are_noticed(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(docs(spark)[1], path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    rows, schema = chunks.collect(), chunks.schema
+    other = bytearray(rows[0].data)
+    other[0] ^= 1
+    spark.createDataFrame([(rows[0].digest, other), *rows[1:]], schema).write.mode("overwrite").parquet(f"{path}/chunks")
+    for read in (token_store.read_summary, token_store.read_ids):
+        with pytest.raises(PySparkException, match="differs"):
+            read(spark, path).collect()
+
+
+def test_shards_grow_with_the_input(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    repeated = spark.range(300).selectExpr("7L as doc_id", "'the same text' as text")  # copies of one row can be split
+    token_store.write_store(repeated, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, shard_docs=50)
+    sizes = [r.docs for r in spark.read.parquet(f"{path}/manifest").collect()]
+    assert len(sizes) >= 5 and max(sizes) <= 100 and sum(sizes) == 300
+    starts = sorted(r.start for r in token_store.read_summary(spark, path).collect())
+    assert starts == [i * (starts[1] - starts[0]) for i in range(300)]
+
+
 def test_empty_store(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     token_store.write_store(docs(spark)[1].limit(0), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -88,7 +133,8 @@ def test_empty_store(spark, tmp_path):
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50000, 20000)
-    a, b = token_store.cut(ids), token_store.cut(np.concatenate((rng.integers(0, 50000, 333), ids)))
+    ends = lambda x: token_store.cut(len(x), token_store.borders(x).tolist())
+    a, b = ends(ids), ends(np.concatenate((rng.integers(0, 50000, 333), ids)))
     assert a[-1] == 20000 and max(np.diff([0, *a])) <= token_store.MOST
     assert len({x + 333 for x in a} & set(b)) > 0.8 * len(a)
 
