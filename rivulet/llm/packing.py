@@ -3,7 +3,8 @@
 Lengths form a histogram of at most ``capacity`` bins, whatever the number of documents. Patterns of up to three
 documents that fill a sequence are enumerated over classes of lengths; non-negative least squares fits their repeat
 counts to the histogram; the counts are rounded down and filled with real lengths, and what is left (and the gaps of
-the patterns) is packed by best fit over the histogram. The plan has a few thousand slots at any size of the input; documents
+the patterns) is packed by best fit over the histogram, for several shares of the counts, of which the one with the fewest sequences
+is kept. The plan has a few thousand slots at any size of the input; documents
 get theirs by their rank among those of equal length.
 
 Defined results: a null or empty text is the end id alone; longer documents are cut, the first piece taking the
@@ -25,6 +26,8 @@ from rivulet.llm.tokens import encoder
 from rivulet.llm.words import blocks
 from rivulet.llm.workspace import materialize, scratch
 
+#: Shares of the fitted counts that are tried.
+SHARES = (1.0, 0.98, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.35, 0.2, 0.1, 0.0)
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -95,10 +98,47 @@ def patterns(classes: np.ndarray, top: int) -> list[tuple[int, ...]]:
     return found
 
 
-def plan(histogram: dict[int, int], capacity: int, unit: int = 16) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(sequences, [(length, how many in each sequence), ...]) that use up the histogram."""
+def plan(histogram: dict[int, int], capacity: int, unit: int = 16, shares: tuple[float, ...] = SHARES) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(sequences, [(length, how many in each sequence), ...]) that use up the histogram.
+
+    Patterns that take nearly all short documents leave none to fill the residual's gaps, so the counts are rounded down to several
+    shares of themselves, and the share with the fewest sequences is kept (of equals the largest). The share 0 is best fit alone.
+    """
+    kinds, counts = fitted(histogram, capacity, unit)
+    best, fewest = [], None
+    least = -(-sum(k * v for k, v in histogram.items()) // capacity)
+    for share in shares if kinds else (0.0,):
+        groups = filled(histogram, capacity, unit, kinds, np.floor(counts * share + 1e-6).astype(int))
+        n = sum(n for n, _ in groups)
+        if fewest is None or n < fewest:
+            best, fewest = groups, n
+        if fewest == least:
+            break
+    return best
+
+
+def fitted(histogram: dict[int, int], capacity: int, unit: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """The patterns of classes of lengths, and how often the fit repeats each."""
+    sizes: dict[int, int] = {}
+    for length, n in histogram.items():
+        if n:
+            sizes[-(-length // unit)] = sizes.get(-(-length // unit), 0) + n
+    classes = np.array(sorted(sizes), int)
+    kinds = patterns(classes, -(-capacity // unit)) if len(classes) else []
+    if not kinds:
+        return [], np.zeros(0)
+    row = {c: i for i, c in enumerate(classes.tolist())}
+    counts = np.array([sizes[c] for c in classes.tolist()], float)
+    a = np.zeros((len(classes), len(kinds)))
+    for j, kind in enumerate(kinds):
+        for c in kind:
+            a[row[c], j] += 1
+    return kinds, least_squares(a, counts / counts.sum(), 3 * len(classes)) * counts.sum()
+
+
+def filled(histogram: dict[int, int], capacity: int, unit: int, kinds: list[tuple[int, ...]], repeats: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The patterns' sequences with real lengths, and best fit for what is left."""
     left = {k: v for k, v in histogram.items() if v}
-    top = -(-capacity // unit)
     heads: dict[int, list[int]] = {}
     for length in sorted(left):
         heads.setdefault(-(-length // unit), []).append(length)  # the longest of a class is taken first
@@ -111,16 +151,7 @@ def plan(histogram: dict[int, int], capacity: int, unit: int = 16) -> list[tuple
             bins[room] = []
         bins[room].append((n, parts))
 
-    classes = np.array(sorted(heads), int)
-    kinds = patterns(classes, top) if len(classes) else []
-    if kinds:
-        row = {c: i for i, c in enumerate(classes.tolist())}
-        counts = np.array([sum(left[x] for x in heads[c]) for c in classes.tolist()], float)
-        a = np.zeros((len(classes), len(kinds)))
-        for j, kind in enumerate(kinds):
-            for c in kind:
-                a[row[c], j] += 1
-        repeats = np.floor(least_squares(a, counts / counts.sum(), 3 * len(classes)) * counts.sum() + 1e-6).astype(int)
+    if len(repeats):
         there = sorted(left)
         for j in np.argsort(-repeats, kind="stable"):
             n = int(repeats[j])
