@@ -2,11 +2,13 @@
 
 A linear classifier over the presence of words is fitted in numpy from confirmed toxic documents and unlabelled ones.
 The risk is prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); where the bracket falls below zero, its gradient is followed
-upwards. The fit uses samples of at most ``positives`` and ``unlabelled`` documents, those with the least hashes of their ids, and the
-``features`` words whose share differs most between them. Every document is scored.
+upwards. The fit uses samples of at most ``positives`` and ``unlabelled`` documents, those with the least hashes of their ids, of each at most
+``words`` distinct words (those with the least hashes), and the ``features`` words whose share differs most between them. The class prior is the
+share of toxic labels, or the parameter ``prior``, and is taken between PRIORS. Every document is scored on its whole text.
 
 Defined results: a null or empty text has the score of the intercept; a null doc_id is kept, not held out and never learned from; rows given
-twice get equal scores; with no confirmed document the score is 0 everywhere; an empty table gives an empty result.
+twice get equal scores; with no confirmed document, or no unlabelled one, the score is NONE_TOXIC everywhere; where all labels are toxic the prior is
+the upper one of PRIORS unless it is given; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,11 @@ from pyspark.sql import functions as F
 from rivulet.llm.arrow import map_blocks
 from rivulet.llm.words import ALNUM, Words, blocks
 
+#: Bounds of the class prior.
+PRIORS = (1e-4, 0.5)
+#: The score without anything to learn from: practically 0.
+NONE_TOXIC = float(1 / (1 + np.exp(50)))
+
 
 def fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -42,9 +49,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """(prior * R_p(+), R_u(-) - prior * R_p(-)) under the logistic loss; the second is the bracket that must not be negative."""
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def slope(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The bracket, and the direction that the fit descends along, by each document's z: the risk's gradient, or against a negative bracket."""
+    bracket = risk(zp, zu, prior)[1]
+    p, u = (1 / (1 + np.exp(-np.clip(z, -50, 50))) for z in (zp, zu))
+    rest = np.concatenate([-prior * p / len(zp), u / len(zu)])
+    if bracket < 0:
+        return bracket, -rest
+    rest[: len(zp)] += prior * (p - 1) / len(zp)
+    return bracket, rest
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = 2048, rounds: int = 300) -> Model:
     """positive, unlabelled: each document's distinct word hashes."""
-    if not positive or not unlabelled or prior <= 0:
+    prior = min(max(prior, PRIORS[0]), PRIORS[1])
+    if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
     docs = [*positive, *unlabelled]
     n = len(positive)
@@ -64,16 +88,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     mean, square = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
     for k in range(1, rounds + 1):
         z = x @ w.astype(np.float32) + b
-        s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         zp, zu = z[:n], z[n:]
-        bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g = np.zeros(len(docs))
-        rest = np.concatenate([-prior * s[:n] / n, s[n:] / len(zu)])
-        if bracket >= 0:
-            g = rest
-            g[:n] += prior * (s[:n] - 1) / n
-        else:
-            g = -rest
+        bracket, g = slope(zp, zu, prior)
         grad = np.append(x.T @ g.astype(np.float32) + 1e-4 * w * (bracket >= 0), g.sum())
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         step = 0.05 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.999**k)) + 1e-8)
@@ -81,8 +97,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(words[best], w, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int, positives: int, unlabelled: int) -> Model:
-    """Labels and texts of fold 0 are not used."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int = 2000, unlabelled: int = 6000, words: int = 4000, prior: float | None = None) -> Model:
+    """Labels and texts of fold 0 are not used. What reaches the driver is at most (positives + unlabelled) * words hashes of 8 bytes."""
     spark = docs.sparkSession
     labelled = labels.where((fold(folds) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = labelled.agg(F.avg("toxic").alias("prior")).first()["prior"]
@@ -93,17 +109,17 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, positives: int, unlabe
 
     def per_batch(batch: pa.RecordBatch):
         for first, n, data, at in blocks(batch.column("text")):
-            words = Words(data, at, ALNUM, lower=True)
-            yield {"doc_id": batch.column("doc_id").slice(first, n), "kind": batch.column("kind").slice(first, n), "words": [np.unique(words.hash[a : a + c]).tobytes() for a, c in zip(words.first, words.count)]}
+            own = Words(data, at, ALNUM, lower=True)
+            yield {"doc_id": batch.column("doc_id").slice(first, n), "kind": batch.column("kind").slice(first, n), "words": [np.unique(own.hash[a : a + c])[:words].tobytes() for a, c in zip(own.first, own.count)]}
 
     rows = map_blocks(docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "kind", "text"), per_batch, "doc_id long, kind int, words binary").collect()
     rows.sort(key=lambda r: (r["kind"], r["doc_id"], r["words"]))
-    return fit(*([np.frombuffer(r["words"], np.uint64) for r in rows if r["kind"] == k] for k in (1, 0)), prior=count or 0)
+    return fit(*([np.frombuffer(r["words"], np.uint64) for r in rows if r["kind"] == k] for k in (1, 0)), prior=prior or count or 0)
 
 
-def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int = 2000, unlabelled: int = 6000) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    model = train(docs, labels, folds, positives, unlabelled)
+def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, **params) -> DataFrame:
+    """doc_id, held_out, score, predicted. params: those of ``train``."""
+    model = train(docs, labels, folds, **params)
 
     def per_batch(batch: pa.RecordBatch):
         for first, n, data, at in blocks(batch.column("text")):
@@ -114,15 +130,14 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int =
 
 
 def clean(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """docs with all their columns, without those predicted toxic; one pass, no shuffle."""
-    model = train(docs, labels, params.get("folds", 5), params.get("positives", 2000), params.get("unlabelled", 6000))
+    """docs with all their columns, without those predicted toxic; one pass, no shuffle. Only texts go to Python, and only scores come back."""
+    model = train(docs, labels, **params)
 
-    def run(batches):
-        for batch in batches:
-            for first, n, data, at in blocks(batch.column("text")):
-                yield batch.slice(first, n).filter(pa.array(model.score(Words(data, at, ALNUM, lower=True)) < 0.5))
+    @F.arrow_udf("double")
+    def toxic(text: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([model.score(Words(data, at, ALNUM, lower=True)) for _, _, data, at in blocks(text)] or [np.zeros(0)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(toxic("text") < 0.5)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -44,8 +45,8 @@ def test_seeds_find_every_match_within_the_bound():
                 i = rnd.randrange(len(text))
                 text[i] = rnd.choice(["", "q", text[i] + "q"])
             text = " ".join("".join(text).split())
-            if p.pattern.fullmatch(text.encode()):
-                assert p.fuzzy(b"left " + text.encode() + b" right"), text
+            if p.pattern.fullmatch(text):
+                assert p.fuzzy(f"left {text} right"), text
 
 
 def test_neighbouring_notices_are_all_found(spark):
@@ -57,17 +58,71 @@ def test_neighbouring_notices_are_all_found(spark):
         ("mit licens mit lcense mit license mt license mit license", [(0, 10, 1), (11, 21, 1), (22, 33, 0), (34, 44, 1), (45, 56, 0)]),
         ("mit licens " * 3000 + "mit license", [(11 * i, 11 * i + 10, 1) for i in range(3000)] + [(33000, 33011, 0)]),
     ]:
-        assert p.fuzzy(text.encode()) == want
+        assert p.fuzzy(text) == want
     g = licenses._Phrase("general public license", "gpl", 3)
     texts = ["genral public licens", "general publc license", "general public license", "gneral pblic licnse"]
     rnd = random.Random(8)
     for _ in range(100):
         own = [rnd.choice(texts) for _ in range(rnd.randint(1, 6))]
-        assert [(text, e) for a, b, e in g.fuzzy(" ".join(own).encode()) for text in [" ".join(own)[a:b]]] == [(x, {0: 2, 1: 1, 2: 0, 3: 3}[texts.index(x)]) for x in own]
+        assert [(text, e) for a, b, e in g.fuzzy(" ".join(own)) for text in [" ".join(own)[a:b]]] == [(x, {0: 2, 1: 1, 2: 0, 3: 3}[texts.index(x)]) for x in own]
     rows = licenses.find_licenses(spark.createDataFrame([(1, "Mit Licens, mit license; apach license or apache license")], "doc_id long, text string")).collect()
     assert [(x.label, x.word, x.edits) for x in rows[0].spans] == [("mit", 0, 1), ("mit", 2, 0), ("apache", 4, 1), ("apache", 7, 0)]
 
 
+def edits_between(a, b):
+    """Levenshtein distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_spans_equal_brute_force():
+    """All spans of whole words within the bound; those with fewer edits first, of equals the leftmost, none over another."""
+    rnd = random.Random(12)
+    for phrase, label, edits in licenses.PHRASES:
+        p = licenses._Phrase(phrase, label, edits)
+        for _ in range(150):
+            words = []
+            for _ in range(rnd.randint(1, 5)):
+                text = list(phrase if rnd.random() < 0.8 else rnd.choice(["some other words", "mit", "licensé"]))
+                for _ in range(rnd.randint(0, edits + 1)):
+                    i = rnd.randrange(len(text))
+                    text[i] = rnd.choice(["", "q", "é", " ", text[i] + "q"])
+                words += "".join(text).split()
+            text = " ".join(words)
+            starts = [len(" ".join(words[:i])) + (i > 0) for i in range(len(words))]
+            every = [(e, starts[i], starts[j] + len(words[j])) for i in range(len(words)) for j in range(i, min(i + 8, len(words))) if (e := edits_between(phrase, text[starts[i] : starts[j] + len(words[j])])) <= edits]
+            want = []
+            for e, a, b in sorted(every):
+                if all(b <= x or a >= y for x, y, _ in want):
+                    want.append((a, b, e))
+            assert p.fuzzy(text) == sorted(want), text
+
+
+def test_dense_texts_take_linear_time_and_spans_lie_in_the_original(spark):
+    p = licenses._Phrase("general public license", "gpl", 3)
+    began = time.process_time()
+    assert len(p.fuzzy("general public licence " * 220_000)) == 220_000  # 5 MB
+    assert len(licenses._Phrase("mit license", "mit", 1).fuzzy("icense" * 800_000 + " mit lmit l" * 100)) == 0
+    assert time.process_time() - began < 20
+    text = "ÄÖ: The M.I.T; Apache--LICENCE é, General\nPublic Licence"
+    spans = licenses.find_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert [(x.label, text[x.start : x.end], x.text) for x in spans] == [("apache", "Apache--LICENCE", "Apache--LICENCE"), ("gpl", "General\nPublic Licence", "General\nPublic Licence")]
+    assert [(x.word, x.words) for x in spans] == [(5, 2), (8, 3)]
+
+
+def test_near_misses_stay_without_a_label(spark):
+    """Phrases that only resemble a notice, and one that the bound can't tell apart."""
+    near = ["submit license", "limit licence fees", "patchy license", "general public notice", "general license", "the public license", "apache licensing board", "mit licensing"]
+    rows = licenses.find_licenses(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in rows} == dict.fromkeys(range(len(near)), "")
+    known = licenses.find_licenses(spark.createDataFrame([(1, "emit license")], "doc_id long, text string")).first()
+    assert (known.labels, known.base_labels, known.spans[0].edits) == ("mit", "", 1)
+
+
 def test_quality_base_and_verdicts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a b\n\na b\n a b\na b"), (None, "# x " * 30), (-3, "a b\n\na b\n a b\na b"), (-4, "w " * 20000)], docs.schema)
@@ -152,6 +207,33 @@ def test_toxicity_edges(spark):
     assert toxicity.scored(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_learns_from_confirmed_documents_alone(spark):
+    """All labels are toxic: the plain positive-unlabelled input. And a very long text among them."""
+    docs = [(i, f"word{i % 7} {'vile' if i % 5 == 0 else 'fine'}") for i in range(400)] + [(500, "vile " + " ".join(f"x{i}" for i in range(300_000)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in [*range(0, 400, 10), 500]], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.scored(df, labels, prior=0.2, words=50).collect()}
+    assert all(got[d].predicted == ("vile" in t) for d, t in docs if d < 400)
+    assert len(got) == len(docs) and 0 <= got[500].score <= 1
+    assert toxicity.scored(df, labels).count() == len(docs)
+
+
+def test_toxicity_slope_is_the_gradient_of_the_risk():
+    rng = np.random.default_rng(6)
+    for prior, shift in ((0.1, 0.0), (0.5, 3.0)):
+        zp, zu = rng.normal(size=5) + shift, rng.normal(size=7) - shift
+        bracket, got = toxicity.slope(zp, zu, prior)
+        assert (bracket < 0) == (shift > 0)
+
+        def value(z):
+            first, rest = toxicity.risk(z[:5], z[5:], prior)
+            return first + rest if bracket >= 0 else -rest
+
+        z = np.concatenate((zp, zu))
+        want = [(value(z + 1e-5 * e) - value(z - 1e-5 * e)) / 2e-5 for e in np.eye(12)]
+        assert np.allclose(got, want, atol=1e-6)
+
+
 def test_lattice_sums_all_segmentations():
     own = lm.pieces(PIECES)
     logp = np.append(own.first, -np.inf)
