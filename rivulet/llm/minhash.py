@@ -12,9 +12,13 @@ similarity of 0.85 shares a table with a probability of 0.9998.
 
 No bucket is capped, and none is gathered in one place: sets are compared in lots of bounded size.
 
+Rows are told apart by doc_id and text. Sets are equal where their sizes and two independent 64-bit sums of mixed shingle hashes are; links
+between different sets are confirmed on the sets.
+
 Defined results: a null text or one without words has an empty set, links with nothing and is kept; rows given twice are one
-class; rows with a null doc_id join the class of their text, and are kept only if they have no class (null doc_id); an empty table gives an
-empty result; other columns are ignored.
+class; a doc_id given with two texts is two documents, each in the component of its own text; rows with a null doc_id take part like others, but
+their component's id is null only if no doc_id is in it, and only then are they kept; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.arrow import map_blocks
+from rivulet.llm.arrow import keyed, map_blocks
 from rivulet.llm.graph import components
 from rivulet.llm.words import Words, blocks, mix, per_doc_sum, signed
 from rivulet.llm.workspace import materialize, scratch
@@ -50,7 +54,7 @@ def shingle_sets(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, and the left and right keys (null for empty sets)."""
+    """doc_id, row_key, n_shingles, two fingerprints of the set, and the left and right keys (null for empty sets)."""
 
     def per_batch(batch: pa.RecordBatch):
         for first, n, data, at in blocks(batch.column("text")):
@@ -58,8 +62,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             size = per_doc_sum(n, doc)
             there = np.flatnonzero(size)
             edge = np.concatenate(([0], np.cumsum(size[there])[:-1])) if len(there) else np.zeros(0, int)
-            own = batch.column("doc_id").slice(first, n)
-            out = {"doc_id": own, "n_shingles": size}
+            out = {"doc_id": batch.column("doc_id").slice(first, n), "row_key": batch.column("row_key").slice(first, n), "n_shingles": size}
 
             def spread(values: np.ndarray) -> pa.Array:
                 full = np.zeros(n, np.int64)
@@ -76,7 +79,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 out[name] = spread(key)
             yield out
 
-    return map_blocks(docs.select("doc_id", "text"), per_batch, "doc_id long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{x} long" for x in _NAMES))
+    return map_blocks(keyed(docs), per_batch, "doc_id long, row_key long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{x} long" for x in _NAMES))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, part: int, whole: int, path: str) -> DataFrame:
@@ -135,20 +138,29 @@ def pairs_across(docs: DataFrame, texts: DataFrame, part: int, whole: int, path:
     return x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & shared).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, part: int = 85, whole: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; documents with whole * |intersection| >= part * |union| are linked."""
-    path = scratch(docs.sparkSession)
+def texts_of(docs: DataFrame, wanted: DataFrame, sketched: DataFrame, path: str) -> DataFrame:
+    """doc_id (the row key), text and wanted's other columns, each once. Only rows given twice pass an aggregate over texts."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text").join(wanted, "doc_id")
+    twice = materialize(sketched.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row_key").alias("doc_id")), f"{path}/twice")
+    if not twice.isEmpty():
+        rows = rows.join(twice, "doc_id", "left_anti").unionByName(rows.join(twice, "doc_id").dropDuplicates(["doc_id"]))
+    return materialize(rows, f"{path}/texts")
+
+
+def classes_of(docs: DataFrame, part: int, whole: int, path: str) -> DataFrame:
+    """doc_id, row_key, n_shingles, component (null for empty sets) of every row; components are named by a row key of theirs.
+
+    In here, a document is a class of equal sets, and its least row key stands in for its doc_id.
+    """
     sketched = materialize(sketches(docs), f"{path}/sketches")
     group = ["f1", "f2", "n_shingles"]
-    classes = sketched.where("n_shingles > 0").groupBy(*group).agg(F.min("doc_id").alias("doc_id"), *[F.min(x).alias(x) for x in _NAMES])
+    classes = sketched.where("n_shingles > 0").groupBy(*group).agg(F.min("row_key").alias("doc_id"), *[F.min(x).alias(x) for x in _NAMES])
     classes = materialize(classes, f"{path}/classes")
     tables = F.array(*[F.xxhash64(F.lit(i * SIDES + j), f"l{i}", f"r{j}") for i in range(SIDES) for j in range(SIDES)])
-    keys = classes.where("doc_id is not null").select("doc_id", "n_shingles", F.explode(tables).alias("key"))
+    keys = classes.select("doc_id", "n_shingles", F.explode(tables).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = materialize(keys.join(shared, "key"), f"{path}/members")
-    sizes = members.select("doc_id", "n_shingles").distinct()
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(sizes, "doc_id").dropDuplicates(["doc_id"])
-    texts = materialize(texts, f"{path}/texts")
+    texts = texts_of(docs, members.select("doc_id", "n_shingles").distinct(), sketched, path)
 
     fits = F.expr(f"{whole} * least(n_shingles, m) >= {part} * greatest(n_shingles, m)")
     compared = links = None
@@ -176,31 +188,33 @@ def near_duplicates(docs: DataFrame, part: int = 85, whole: int = 100) -> DataFr
     links = links.unionAll(confirmed(rest, texts, part, whole, f"{path}/lots"))
 
     linked = materialize(components(links, f"{path}/all"), f"{path}/linked")
-    whole_class = classes.select(*group, "doc_id").join(linked, F.col("doc_id") == F.col("node"), "left").select(*group, F.coalesce("component", "doc_id").alias("component_id"))
-    out = sketched.select("doc_id", *group).join(whole_class, group, "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    whole_class = classes.select(*group, "doc_id").join(linked, F.col("doc_id") == F.col("node"), "left").select(*group, F.coalesce("component", "doc_id").alias("component"))
+    return sketched.select("doc_id", "row_key", *group).join(whole_class, group, "left").select("doc_id", "row_key", "n_shingles", "component")
 
 
-def one_of_each(docs: DataFrame, nulls_stay: bool = True, **params) -> DataFrame:
+def near_duplicates(docs: DataFrame, part: int = 85, whole: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; documents with whole * |intersection| >= part * |union| are linked."""
+    path = scratch(docs.sparkSession)
+    found = materialize(classes_of(docs, part, whole, path), f"{path}/found")
+    # written first, so that the next join reads plain shuffles and a large component can be split
+    least = materialize(found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), f"{path}/least")
+    out = found.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, nulls_stay: bool = True, part: int = 85, whole: int = 100) -> DataFrame:
     """docs with all their columns: of each component one row, and all rows without words.
 
-    Rows are told apart by doc_id and text, so a doc_id given with two texts is two documents. The row with the least doc_id stays, one without
-    a doc_id only where none has one; of equal rows the one whose columns come first as JSON. With ``nulls_stay`` rows without a doc_id
-    all stay besides.
+    The row with the least doc_id stays, one without a doc_id only where none has one; of equal rows the one whose columns come first as
+    JSON. With ``nulls_stay`` rows without a doc_id all stay besides.
     """
     path = scratch(docs.sparkSession)
-    key = F.xxhash64("doc_id", "text").alias("row_key")
-    ids = docs.select(key, "doc_id").groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    found = near_duplicates(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), **params)
-    found = found.where("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
-    placed = materialize(found.join(ids, "row_key"), f"{path}/placed")
-    # written first, so that the next join reads plain shuffles and a large component can be split
-    first = materialize(placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best")).select("component_id", F.col("best.row_key").alias("best")), f"{path}/first")
-    decided = (placed.where("doc_id is not null") if nulls_stay else placed).join(first, "component_id")
+    found = materialize(classes_of(docs, part, whole, path).where("n_shingles > 0").groupBy("doc_id", "row_key", "component").agg(F.count("*").alias("n")), f"{path}/found")
+    first = materialize(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best")).select("component", F.col("best.row_key").alias("best")), f"{path}/first")
+    decided = (found.where("doc_id is not null") if nulls_stay else found).join(first, "component")
     gone = materialize(decided.where("row_key != best").select("row_key"), f"{path}/gone")
     again = materialize(decided.where("row_key = best and n > 1").select("row_key"), f"{path}/again")
-    rows = docs.select(F.struct("*").alias("row"), key)  # columns of any name ride along
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("row_key"))  # columns of any name ride along
     out = rows.join(gone, "row_key", "left_anti")
     if again.isEmpty():
         return out.select("row.*")

@@ -59,6 +59,34 @@ def test_one_row_of_each_component(spark):
     assert rows_of(corpus_pipeline.drop_near_duplicates(spark, repeated, ""), *docs.columns) == sorted(want, key=str)
 
 
+def test_a_doc_id_with_two_texts_is_two_documents(spark):
+    one, two = "a b c d e f g", "h i j k l m n"
+    docs = spark.createDataFrame([(5, one), (5, two), (6, one), (7, two), (4, "p q"), (None, two)], "doc_id long, text string")
+    got = rows_of(minhash.near_duplicates(docs), "doc_id", "component_id", "kept")
+    assert got == sorted([(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (4, 4, True), (None, 5, False)], key=str)
+
+
+def test_recall_close_to_the_threshold(spark):
+    """Pairs with similarities from 0.85 to 0.90, and pairs just below, among texts of one vocabulary; a very long pair too."""
+    rnd = random.Random(11)
+    rows, pairs = [], {}
+    for k in range(900):
+        n = rnd.choice([40, 80, 200, 500]) if k else 60_000
+        words = [f"v{rnd.randrange(5000)}" for _ in range(n)]
+        other = words[:]
+        for i in rnd.sample(range(n), max(1, round(n * rnd.uniform(0.010, 0.022)))):
+            other[i] = f"q{rnd.randrange(10**6)}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(n - 4)} for w in (words, other))
+        share = len(a & b) / len(a | b)
+        if 0.8 <= share < 0.9:
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+            pairs[2 * k] = 100 * len(a & b) >= 85 * len(a | b)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [got[d + 1] == d for d, near in pairs.items() if near]
+    assert len(linked) > 100 and sum(linked) >= 0.995 * len(linked)
+    assert not any(got[d + 1] == d for d, near in pairs.items() if not near)
+
+
 def test_star_steps(spark, tmp_path):
     rnd = random.Random(7)
     links = [(i, i + 1) for i in range(200)] + [(300, 300 + i) for i in range(1, 80)] + [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(70)]
