@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from rivulet.llm.workspace import materialize
+
 
 def map_blocks(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """df.mapInArrow where per_batch yields dicts of columns (numpy, lists or Arrow)."""
@@ -29,6 +31,15 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"), *columns)
 
 
+def each_once(docs: DataFrame, path: str) -> DataFrame:
+    """row_key and text of all rows; of rows given twice once. Only these pass an aggregate over texts."""
+    rows = keyed(docs).select("row_key", "text")
+    twice = materialize(rows.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), path)
+    if twice.isEmpty():
+        return rows
+    return rows.join(twice, "row_key", "left_anti").unionByName(rows.join(twice, "row_key").dropDuplicates(["row_key"]))
+
+
 def list_array(values: pa.Array, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.arrow import keyed, map_blocks
+from rivulet.llm.arrow import each_once, keyed, map_blocks
 from rivulet.llm.graph import components
 from rivulet.llm.words import Words, blocks, mix, per_doc_sum, signed
 from rivulet.llm.workspace import materialize, scratch
@@ -138,15 +138,6 @@ def pairs_across(docs: DataFrame, texts: DataFrame, part: int, whole: int, path:
     return x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & shared).select("a", "b").distinct()
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, sketched: DataFrame, path: str) -> DataFrame:
-    """doc_id (the row key), text and wanted's other columns, each once. Only rows given twice pass an aggregate over texts."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text").join(wanted, "doc_id")
-    twice = materialize(sketched.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row_key").alias("doc_id")), f"{path}/twice")
-    if not twice.isEmpty():
-        rows = rows.join(twice, "doc_id", "left_anti").unionByName(rows.join(twice, "doc_id").dropDuplicates(["doc_id"]))
-    return materialize(rows, f"{path}/texts")
-
-
 def classes_of(docs: DataFrame, part: int, whole: int, path: str) -> DataFrame:
     """doc_id, row_key, n_shingles, component (null for empty sets) of every row; components are named by a row key of theirs.
 
@@ -160,7 +151,9 @@ def classes_of(docs: DataFrame, part: int, whole: int, path: str) -> DataFrame:
     keys = classes.select("doc_id", "n_shingles", F.explode(tables).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = materialize(keys.join(shared, "key"), f"{path}/members")
-    texts = texts_of(docs, members.select("doc_id", "n_shingles").distinct(), sketched, path)
+    wanted = members.select(F.col("doc_id").alias("row_key"), "n_shingles").distinct()
+    texts = each_once(docs, f"{path}/twice").join(wanted, "row_key").withColumnRenamed("row_key", "doc_id")
+    texts = materialize(texts, f"{path}/texts")
 
     fits = F.expr(f"{whole} * least(n_shingles, m) >= {part} * greatest(n_shingles, m)")
     compared = links = None

@@ -11,7 +11,7 @@ QUERIES = {
     "op5_url_filter": urls.query,
     "op6_token_store": token_store.query,
     "op7_decontamination": decontaminate.query,
-    "op8_substring_dedup": lambda spark, sf_dir: substrings.query(spark, sf_dir).drop("removed"),
+    "op8_substring_dedup": lambda spark, sf_dir: substrings.query(spark, sf_dir).drop("removed", "repeats"),
     "op9_toxicity": toxicity.query,
     "op10_lattice_lm": lm.query,
     "pipeline": corpus_pipeline.run,

@@ -1,7 +1,7 @@
 """Words of Arrow text columns as numpy arrays.
 
 A block is a run of rows whose UTF-8 bytes are handled at once; its size bounds the memory of a task.
-Words get 64-bit hashes (polynomial over a random byte table, then mixed); runs of words get hashes from
+Words get 64-bit hashes (polynomial over a random byte table, then mixed; where 64 bits are too few, another table gives 64 more); runs of words get hashes from
 prefix sums, so any window or range costs O(1).
 """
 
@@ -25,7 +25,7 @@ SPACED[[0x20, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_BYTES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BYTES, _OTHER_BYTES = (np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1) for seed in (20240501, 20240502))
 
 
 class _Powers:
@@ -94,20 +94,27 @@ class Words:
         self.first = np.searchsorted(self.start, at[:-1])
         self.count = np.diff(np.append(self.first, len(self.start)))
         self.doc = np.repeat(np.arange(self.docs), self.count)
-        self.hash = np.empty(len(self.start), _U)
+        self.hash = self._hashes(_BYTES)
+        self._totals: dict[bool, np.ndarray] = {}
+
+    def _hashes(self, table: np.ndarray) -> np.ndarray:
+        out, data = np.empty(len(self.start), _U), self.data
         cuts = np.unique(np.concatenate(([0], np.searchsorted(self.start, np.arange(_SEGMENT, len(data), _SEGMENT)), [len(self.start)])))
         for a, b in zip(cuts[:-1], cuts[1:]):
             lo, hi = self.start[a], self.end[b - 1]
             up, down = _byte_powers.get(int(hi - lo) + 1)
-            total = np.concatenate(([_U(0)], np.cumsum(_BYTES[data[lo:hi]] * up[:-1])))
-            self.hash[a:b] = (total[self.end[a:b] - lo] - total[self.start[a:b] - lo]) * down[self.start[a:b] - lo]
-        self.hash = mix(self.hash + (self.end - self.start).astype(_U))
-        up, self._down = _word_powers.get(len(self.hash) + 1)
-        self._total = np.concatenate(([_U(0)], np.cumsum(self.hash * up[:-1])))
-
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the word sequences [start, end)."""
-        return mix((self._total[end] - self._total[start]) * self._down[start] + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15))
+            total = np.concatenate(([_U(0)], np.cumsum(table[data[lo:hi]] * up[:-1])))
+            out[a:b] = (total[self.end[a:b] - lo] - total[self.start[a:b] - lo]) * down[self.start[a:b] - lo]
+        return mix(out + (self.end - self.start).astype(_U))
+
+    def ranges(self, start: np.ndarray, end: np.ndarray, other: bool = False) -> np.ndarray:
+        """Hashes of the word sequences [start, end); other: by another table of bytes, so that both together have 128 bits."""
+        up, down = _word_powers.get(len(self.hash) + 1)
+        if other not in self._totals:
+            own = self._hashes(_OTHER_BYTES) if other else self.hash
+            self._totals[other] = np.concatenate(([_U(0)], np.cumsum(own * up[:-1])))
+        total = self._totals[other]
+        return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15))
 
     def windows(self, n: int) -> np.ndarray:
         """Starts of all runs of n words of one document."""

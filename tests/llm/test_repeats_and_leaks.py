@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from plain import contamination, rows_of, without_repeats
@@ -27,6 +28,33 @@ def test_substrings_equal_brute_force(spark, length, k):
     assert all(r.n == r.n_removed for r in spans)
 
 
+def test_repeats_equal_brute_force(spark):
+    """Maximal runs of windows that are there elsewhere; an anchor with very many different surroundings among them."""
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    docs = []
+    for i in range(150):
+        a = rnd.randrange(0, 30)
+        own = [rnd.choice("abcdefgh") for _ in range(rnd.randrange(40))]
+        docs.append((i, " ".join(own + passage[a : a + rnd.randrange(20, 60)] + [str(rnd.random()) for _ in range(rnd.randrange(4))])))
+    docs += [(200, None), (201, " ".join(passage)), (201, " ".join(passage))]
+    length, counts, want = 20, Counter(), []
+    words = [(d, (t or "").split()) for d, t in docs]
+    for _, w in words:
+        counts.update(tuple(w[i : i + length]) for i in range(len(w) - length + 1))
+    for d, w in words:
+        there = [i for i in range(len(w) - length + 1) if counts[tuple(w[i : i + length])] > 1]
+        runs = []
+        for i in there:
+            if runs and runs[-1][1] == i - 1:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+        want.append((d, [(a, b - a + length) for a, b in runs]))
+    got = substrings.dedup(spark.createDataFrame(docs, "doc_id long, text string"), length, 5).collect()
+    assert sorted((r.doc_id, [(x.first, x.words) for x in r.repeats]) for r in got) == sorted(want)
+
+
 def test_texts_without_repeats(spark):
     docs = [(1, "a b c d e x"), (2, "y a  b c d e"), (3, " as  it is "), (4, None)]
     df = spark.createDataFrame([(d, t, "s", 1, 7, [d]) for d, t in docs], "doc_id long, text string, source string, n_chars long, row_key int, marks array<int>")
@@ -36,7 +64,7 @@ def test_texts_without_repeats(spark):
     assert substrings.dedup(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WORDS, 0])
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WORDS, 100])
 def test_contamination_equals_brute_force(spark, monkeypatch, bound):
     monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", bound)
     rnd = random.Random(5)
@@ -52,6 +80,20 @@ def test_contamination_equals_brute_force(spark, monkeypatch, bound):
     assert [r[0] for r in rows_of(decontaminate.clean(texts, bench), "doc_id")] == kept
 
 
+def test_a_long_item_makes_a_small_broadcast(spark, tmp_path):
+    """An item of 50,000 words, and one that repeats a word as often."""
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(20_000)}" for _ in range(50_000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "x " * 50_000), (3, " ".join(words[100:130]))], "item_id long, text string")
+    docs = [(1, "start " + " ".join(words[100:112]) + " end"), (2, " ".join(words[49_000:])), (3, "x " * 30 + "y"), (4, "x " * 9 + "y"), (5, " ".join(words[::2]))]
+    path = f"file://{tmp_path}/a"
+    decontaminate.occurrences(spark.createDataFrame(docs, "doc_id long, text string"), bench, 10, path)
+    carried = spark.read.parquet(f"{path}/kinds").selectExpr("sum(size(near))", "max(size(near))", "sum(length(array_join(near, ' ')))").first()
+    assert carried[0] < 10 * 50_000 and carried[1] <= 19 and carried[2] < 8 * 10 * 50_000
+    got = rows_of(decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench), "doc_id", "n_hit", "n_items")
+    assert got == [(1, 12, 2), (2, 1000, 1), (3, 30, 1), (4, 0, 0), (5, 0, 0)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
