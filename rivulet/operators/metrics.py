@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.scalar import clamp_latency, label
+from rivulet.operators.sequence import ROWS_PER_LOT, neighbour
 
 
 def published(events: DataFrame, feed: str = "feed") -> DataFrame:
@@ -36,9 +39,10 @@ def gauge(events: DataFrame, by: str, value: str, order: str = "event_id") -> Da
     return events.groupBy(F.col(by).alias("label")).agg(F.max_by(value, order).alias("value"))
 
 
-def intervals(ticks: DataFrame, by: Column | str, order: str, time: Column, name: str) -> DataFrame:
+def intervals(ticks: DataFrame, by: Column | str, order: str, time: Column, name: str, rows_per_lot: int = ROWS_PER_LOT) -> DataFrame:
     """From each tick to the next of its cycle; null for the last."""
-    return ticks.withColumn(name, F.lead(time).over(Window.partitionBy(by).orderBy(order)) - time)
+    timed = ticks.withColumn("_by", by if isinstance(by, Column) else F.col(by)).withColumn("_time", time)
+    return neighbour(timed, ["_by"], order, "_time", name, after=True, rows_per_lot=rows_per_lot).withColumn(name, F.col(name) - F.col("_time")).drop("_by", "_time")
 
 
 def percentiles(latencies: DataFrame, by: str, value: Column) -> DataFrame:
@@ -54,6 +58,47 @@ def summary(events: DataFrame, by: str, value: str) -> DataFrame:
     return events.groupBy(by).agg(F.count("*").alias("n"), F.min(value).alias("min_v"), F.max(value).alias("max_v"))
 
 
+def statistics(events: DataFrame, by: str, value: str) -> DataFrame:
+    """n, min_v, max_v, sum_v and avg_v; sums are of decimals, so they don't depend on the order."""
+    exact = F.sum(F.col(value).cast("decimal(28,6)"))
+    return events.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("min_v"), F.max(value).alias("max_v"), exact.cast("double").alias("sum_v"), (exact / F.count(value)).cast("double").alias("avg_v"))
+
+
+def counter(increments: DataFrame, label_: str = "label", amount: str = "amount") -> DataFrame:
+    """label, value: the sum of each label's increments; equal labels are one counter."""
+    return increments.groupBy(F.col(label_).alias("label")).agg(F.sum(amount).cast("bigint").alias("value"))
+
+
+def processor_events(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Events that each processor receives; they are counted by feed before the join."""
+    counts = events.groupBy("feed").agg(F.count("*").alias("n")).join(subscriptions.select("processor", "feed").distinct(), "feed")
+    return counts.groupBy("processor").agg(F.sum("n").alias("value")).select(label("processor", F.col("processor"), "events").alias("label"), "value")
+
+
+def every_counter(*counters: DataFrame) -> DataFrame:
+    """All counters (label, value) as one table."""
+    return reduce(DataFrame.unionByName, [c.select("label", "value") for c in counters])
+
+
+# Snapshots that the ring keeps, and the longest window that a delta looks back.
+RING, RING_MS = 60, 60_000
+
+
+def ring_delta(snapshots: DataFrame, now: DataFrame, now_ms: int, window_ms: int) -> DataFrame:
+    """label, delta: each counter's value now against its newest snapshot at or before now_ms - window_ms, else against its oldest.
+
+    snapshots: label, ts_ms, value, of which the newest RING of each label are looked at; now: label, value. A window over RING_MS has no
+    delta (null), nor has a counter without a snapshot; a window of 0 or less has 0.
+    """
+    if window_ms > RING_MS or window_ms <= 0:
+        return now.select("label", (F.lit(None) if window_ms > 0 else F.lit(0)).cast("bigint").alias("delta"))
+    newest = Window.partitionBy("label").orderBy(F.col("ts_ms").desc())
+    ring = snapshots.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= RING)  # Spark drops the rest before the shuffle
+    older = F.max_by("value", F.when(F.col("ts_ms") <= now_ms - window_ms, F.col("ts_ms")))
+    base = ring.groupBy("label").agg(F.coalesce(older, F.min_by("value", "ts_ms")).alias("_base"))
+    return now.join(base, "label", "left").select("label", (F.col("value") - F.col("_base")).cast("bigint").alias("delta"))
+
+
 def change(counts: DataFrame, by: str, order: str, value: str, name: str = "change") -> DataFrame:
     return counts.withColumn(name, F.col(value) - F.lag(value).over(Window.partitionBy(by).orderBy(order)))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators.sequence import numbered
+from rivulet.operators.sequence import ROWS_PER_LOT, neighbour, numbered
 
 
 def publish(events: DataFrame, mapped: Column | None = None, feed: str = "feed", order: str = "event_id", value: str = "value") -> DataFrame:
@@ -49,9 +49,12 @@ def merge(*feeds: DataFrame, order: str = "event_id") -> DataFrame:
     return numbered(first, [], order, "pos")
 
 
-def missing(received: DataFrame, by: str = "feed", seq: str = "seq") -> DataFrame:
-    """Gaps in the received sequence numbers: the number after each gap and how many are missing."""
-    from pyspark.sql import Window
+def unwrapped(events: DataFrame, wrapped: str, inner: str, value: str = "value") -> DataFrame:
+    """Broadcast envelopes opened: value becomes the inner event where the wrapped struct is there, and stays elsewhere."""
+    return events.withColumn(value, F.when(F.col(wrapped).isNotNull(), F.col(f"{wrapped}.{inner}")).otherwise(F.col(value))).drop(wrapped)
+
 
-    gap = F.col(seq) - F.lag(seq).over(Window.partitionBy(by).orderBy(seq)) - 1
-    return received.withColumn("missing", gap).where("missing > 0").select(by, seq, "missing")
+def missing(received: DataFrame, by: str = "feed", seq: str = "seq", rows_per_lot: int = ROWS_PER_LOT) -> DataFrame:
+    """Gaps in the received sequence numbers: the number after each gap and how many are missing."""
+    known = neighbour(received.where(F.col(seq).isNotNull()), [by], seq, seq, "_before", rows_per_lot=rows_per_lot)
+    return known.withColumn("missing", F.col(seq) - F.col("_before") - 1).where("missing > 0").select(by, seq, "missing")

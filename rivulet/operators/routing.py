@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.exceptions import ConfigurationError
+
 #: Subscription tables are configuration; above this many rows they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -31,9 +33,12 @@ def route(events: DataFrame, subscriptions: DataFrame, since: str | None = None,
 
 
 def broadcast_route(events: DataFrame, processors: DataFrame) -> DataFrame:
-    """Every event for every processor: the list of processors rides along and is exploded, row by row."""
-    names = [r[0] for r in processors.select("processor").distinct().limit(BROADCAST_ROWS).collect()]
-    return events.withColumn("processor", F.explode(F.array(*[F.lit(n) for n in names])))
+    """Every event for every processor. The processors are broadcast; more than BROADCAST_ROWS of them are refused, as every event would
+    be written that often."""
+    names = processors.select("processor").distinct()
+    if names.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ConfigurationError(f"more than {BROADCAST_ROWS} processors for a broadcast feed")
+    return events.crossJoin(F.broadcast(names))
 
 
 def listeners(subscriptions: DataFrame) -> DataFrame:
@@ -50,6 +55,6 @@ def dispatch(events: DataFrame, cases: list[tuple[Column, str, Column]], default
 
 def matching_services(wanted: DataFrame, services: DataFrame, assignable: DataFrame) -> DataFrame:
     """Services that fit each wanted type, by a table of assignable (child, parent) types; is_exact where the types are equal."""
-    w, s, a = wanted.alias("w"), services.alias("s"), assignable.alias("a")
-    joined = w.join(F.broadcast(a), F.col("a.parent") == F.col("w.iface")).join(F.broadcast(s), F.col("s.iface") == F.col("a.child"))
+    w, s, a = wanted.alias("w"), _small(services).alias("s"), _small(assignable).alias("a")
+    joined = w.join(a, F.col("a.parent") == F.col("w.iface")).join(s, F.col("s.iface") == F.col("a.child"))
     return joined.select("w.target", "s.name", (F.col("s.iface") == F.col("w.iface")).alias("is_exact"))
