@@ -4,17 +4,19 @@ Spark's file sources track files; this one tracks bytes of one growing file on a
 end, so multi-byte text survives restarts, and an unfinished last line waits for its end. A batch's bytes are cut into ranges that
 executors read in parallel; a range holds the lines that start in it.
 
-Options: path; strategy (EARLIEST, COMMITED: from the start, then from the checkpoint; LATEST: what is appended after the start); rangeBytes.
+Options: path; strategy (streams: EARLIEST, COMMITED: from the start, then from the checkpoint; LATEST: what is appended after the start; batches:
+ONCE_EARLIEST, ONCE_LATEST); rangeBytes.
 A file that is shorter than the offset was replaced and is read from its start; a missing file is empty.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from rivulet.exceptions import ConfigurationError
 
@@ -44,23 +46,33 @@ def complete(path: str) -> int:
     return 0
 
 
+_END = re.compile(rb"\r\n|\n|\r")
+
+
 def lines(path: str, start: int, first: int, stop: int, end: int) -> Iterator[str]:
-    """Lines of the batch [start, end) that begin in [first, stop)."""
+    """Lines of the batch [start, end) that begin in [first, stop). Reads on past stop to the last line's end only, a block at a time."""
+    inside = first == start
+    at = first if inside else first - 1  # the line end before the first line may be the byte before
     with open(path, "rb") as f:
-        f.seek(max(first - 2, start))
-        data = f.read(end - f.tell())
-    base = max(first - 2, start)
-    at = first - base
-    if first > start:  # go on to the first line that starts here
-        at -= 1
-        while at < len(data) and not (data[at : at + 1] == b"\n" or data[at : at + 1] == b"\r" and data[at + 1 : at + 2] != b"\n"):
-            at += 1
-        at += 1
-    while at < len(data) and base + at < stop:
-        n, r = data.find(b"\n", at), data.find(b"\r", at)
-        cut = min((x for x in (n, r) if x >= 0), default=len(data))
-        yield data[at:cut].decode("utf-8", "replace")
-        at = cut + (2 if data[cut : cut + 2] == b"\r\n" else 1)
+        f.seek(at)
+        data, i, scan = b"", 0, 0  # data[i:] begins at byte at; scan: where to look for its end
+        while inside and at < stop or not inside:
+            m = _END.search(data, scan)
+            rest = end - at - (len(data) - i)  # bytes of the batch that aren't read yet
+            if m and (m.end() < len(data) or m.group() != b"\r" or rest <= 0):
+                if inside:
+                    yield data[i : m.start()].decode("utf-8", "replace")
+                at += m.end() - i
+                i = scan = m.end()
+                inside = True
+                continue
+            more = f.read(min(BLOCK, rest)) if rest > 0 else b""
+            if not more:
+                if inside and i < len(data):
+                    yield data[i:].decode("utf-8", "replace")
+                return
+            scan = max(i, len(data) - 1) - i
+            data, i = data[i:] + more, 0
 
 
 class Range(InputPartition):
@@ -92,6 +104,19 @@ class LineReader(DataSourceStreamReader):
         pass
 
 
+class OnceReader(DataSourceReader):
+    """The lines that are finished now, or none."""
+
+    def __init__(self, path: str, strategy: str, range_bytes: int):
+        self.reader, self.empty = LineReader(path, "EARLIEST", range_bytes), strategy == "ONCE_LATEST"
+
+    def partitions(self) -> list[Range]:
+        return [] if self.empty else self.reader.partitions({"pos": 0}, self.reader.latestOffset())
+
+    def read(self, partition: Range | None) -> Iterator[tuple[str]]:
+        return self.reader.read(partition) if partition else iter(())
+
+
 class LineTail(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -100,21 +125,26 @@ class LineTail(DataSource):
     def schema(self) -> str:
         return "value string"
 
-    def streamReader(self, schema) -> LineReader:
-        path, strategy = self.options.get("path", "").strip(), self.options.get("strategy", "COMMITED")
+    def _options(self, known: tuple[str, ...]) -> tuple[str, str, int]:
+        path, strategy = self.options.get("path", "").strip(), self.options.get("strategy", known[0])
         if not path:
             raise ConfigurationError("line_tail needs a path")
-        if strategy not in ("COMMITED", "EARLIEST", "LATEST"):
-            raise ConfigurationError(f"{strategy} is read once: use read_once")
-        return LineReader(path, strategy, int(self.options.get("rangeBytes", 64 << 20)))
+        if strategy not in known:
+            raise ConfigurationError(f"{strategy} is none of {', '.join(known)}")
+        return path, strategy, int(self.options.get("rangeBytes", 64 << 20))
+
+    def streamReader(self, schema) -> LineReader:
+        return LineReader(*self._options(("COMMITED", "EARLIEST", "LATEST")))
+
+    def reader(self, schema) -> OnceReader:
+        return OnceReader(*self._options(("ONCE_EARLIEST", "ONCE_LATEST")))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LineTail)
 
 
-def read_once(spark: SparkSession, path: str, strategy: str = "ONCE_EARLIEST"):
-    """What is there now, once: all finished lines for ONCE_EARLIEST, none for ONCE_LATEST."""
-    if strategy == "ONCE_LATEST" or not os.path.exists(path):
-        return spark.createDataFrame([], "value string")
-    return spark.read.text(path)
+def read_once(spark: SparkSession, path: str, strategy: str = "ONCE_EARLIEST") -> DataFrame:
+    """What is there now, once: all finished lines for ONCE_EARLIEST, none for ONCE_LATEST; an unfinished last line is held back."""
+    register(spark)
+    return spark.read.format("line_tail").option("path", path).option("strategy", strategy).load()
