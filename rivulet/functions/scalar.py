@@ -59,11 +59,16 @@ def truncated(unit: str, ts: Column) -> Column:
 
 
 def ns_to_us(ns: Column) -> Column:
-    return F.floor(ns / 1000).cast("bigint")
+    return F.floor(ns / F.lit(1000).cast("decimal(20,0)")).cast("bigint")  # doubles can't hold nanoseconds since 1970
 
 
 def ns_to_ms(ns: Column) -> Column:
-    return F.floor(ns / 1_000_000).cast("bigint")
+    return F.floor(ns / F.lit(1_000_000).cast("decimal(20,0)")).cast("bigint")
+
+
+def time_in(text: Column) -> Column:
+    """The number behind time= in a text; null without one."""
+    return F.nullif(F.regexp_extract(text, "time=([0-9]+)", 1), F.lit("")).cast("bigint")
 
 
 def command_words(line: Column) -> Column:

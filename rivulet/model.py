@@ -1,14 +1,6 @@
-"""Schemas of feeds and of the views about them."""
+"""Schemas of the engine's views."""
 
-TEXT_LINE = "value string"
-FEED_EVENT = "feed string, seq bigint, event_id bigint, ts timestamp_ntz, data string"
-REPLAY_RECORD = "event string, wall_clock_ms bigint"
-SUBSCRIPTION = "grp string, processor string, feed string, callback string, since timestamp_ntz"
-NODE_TICK = "processor string, cycle bigint, node string, t bigint"
 COUNTER = "label string, value bigint"
 COUNTER_SNAPSHOT = "ts_ms bigint, label string, value bigint"
 LATENCY_SNAPSHOT = "processor string, node string, count bigint, p50 bigint, p90 bigint, p99 bigint, p999 bigint, max bigint"
 HEALTH_STATUS = "service string, check_name string, verdict string, reason string, as_of_ms bigint, enabled boolean"
-ERROR_EVENT = "ts timestamp_ntz, source string, message string, error string, severity string"
-ATTEMPT = "event_id bigint, processor string, attempt int, ok boolean, backoff_ms bigint"
-AUDIT_HANDLE = "processor string, path string, cycle bigint, size_bytes bigint, record_count bigint, started_at timestamp_ntz, last_write_at timestamp_ntz, is_live boolean"

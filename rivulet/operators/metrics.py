@@ -61,7 +61,7 @@ def summary(events: DataFrame, by: str, value: str) -> DataFrame:
 def statistics(events: DataFrame, by: str, value: str) -> DataFrame:
     """n, min_v, max_v, sum_v and avg_v; sums are of decimals, so they don't depend on the order."""
     exact = F.sum(F.col(value).cast("decimal(28,6)"))
-    return events.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("min_v"), F.max(value).alias("max_v"), exact.cast("double").alias("sum_v"), (exact / F.count(value)).cast("double").alias("avg_v"))
+    return events.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("min_v"), F.max(value).alias("max_v"), exact.cast("double").alias("sum_v"), (exact.cast("double") / F.count(value)).alias("avg_v"))
 
 
 def counter(increments: DataFrame, label_: str = "label", amount: str = "amount") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +24,6 @@ def map_safely(events: DataFrame, mapped: Column, value: str = "value") -> tuple
     return good, dead
 
 
-def map_batches(events: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """For mappers that no expression can state: function(iterator of pandas frames), Arrow batch by batch."""
-    return events.mapInPandas(function, schema)
-
-
 def envelope(published: DataFrame, data: Column, feed: str = "feed") -> DataFrame:
     """Adds the wrapped form: feed, seq and data in one struct."""
     return published.withColumn("envelope", F.struct(F.col(feed).alias("feed"), "seq", data.alias("data")))

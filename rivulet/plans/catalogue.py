@@ -12,7 +12,9 @@ from rivulet.functions import scalar
 from rivulet.operators import flow, health, introspect, metrics, publish, replay, retry, routing
 from rivulet.operators.sequence import numbered
 from rivulet.plans.oracles import ORACLES
-from rivulet.sources.feeds import feed_table
+from rivulet.sources import sinks
+from rivulet.sources.feeds import feed_table, stream_log
+from rivulet.sources.places import shared_folder
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -356,3 +358,125 @@ def latest_per_batch(spark, sf_dir):
 @query
 def file_sink_lines(spark, sf_dir):
     return events(spark, sf_dir).select(F.concat_ws(",", F.col("event_id").cast("string"), "feed").alias("line"))
+
+
+# -- the same by stream, and what the operators above leave out ---------------------------------------------------------
+
+
+def streamed(spark, sf_dir) -> DataFrame:
+    """The events table as a stream; the glob fits a file and a folder."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumnRenamed("event_type", "feed")
+
+
+def finish(writer) -> None:
+    """Runs a query over what is there."""
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+@query
+def file_sink_written(spark, sf_dir):
+    """Lines that a stream wrote to text files."""
+    place = shared_folder(spark)
+    line = F.concat_ws(",", F.col("event_id").cast("string"), "feed")
+    finish(sinks.text_sink(streamed(spark, sf_dir), f"{place}/lines", line, f"{place}/checkpoint"))
+    return spark.read.text(f"{place}/lines").select(F.col("value").alias("line"))
+
+
+@query
+def pipe_stream(spark, sf_dir):
+    """One stream's pipe is the next one's feed."""
+    place = shared_folder(spark)
+    big = streamed(spark, sf_dir).where("value > 100").select("event_id", F.concat(F.lit("big."), "feed").alias("feed"))
+    finish(sinks.pipe(big, f"{place}/pipe", f"{place}/first"))
+    finish(sinks.pipe(stream_log(spark, f"{place}/pipe", "event_id bigint, feed string"), f"{place}/end", f"{place}/second"))
+    return spark.read.parquet(f"{place}/end").groupBy("feed").agg(F.count("*").alias("n"))
+
+
+@query
+def mapper_isolation(spark, sf_dir):
+    """Failed mappings become dead letters, and the others go on."""
+    text = events(spark, sf_dir).select("feed", F.when(F.col("event_id") % 7 == 0, "bad").otherwise(F.col("event_id").cast("string")).alias("value"))
+    good, dead = publish.map_safely(text, F.expr("try_cast(value AS bigint)"))
+    both = good.select("feed", F.lit(0).alias("bad"), "value").unionByName(dead.select("feed", F.lit(1).alias("bad"), F.lit(None).cast("bigint").alias("value")))
+    return both.groupBy("feed").agg(F.count("*").alias("published"), F.sum("bad").cast("bigint").alias("failed"), F.sum("value").alias("mapped"))
+
+
+@query
+def broadcast_unwrap(spark, sf_dir):
+    wrapped = events(spark, sf_dir).withColumn("envelope", F.when(F.col("feed") == "error", F.struct((F.col("value") * 2).alias("event"))))
+    return publish.unwrapped(wrapped, "envelope", "event").select("event_id", "value")
+
+
+@query
+def counter_processor_events(spark, sf_dir):
+    subs = rows(spark, SUBS, ("p1", "purchase"), ("p1", "signup"), ("p2", "purchase"), ("p3", "error"))
+    return metrics.processor_events(events(spark, sf_dir), subs)
+
+
+@query
+def counters_every(spark, sf_dir):
+    e = events(spark, sf_dir)
+    weights = metrics.counter(e.select(scalar.label("feed", F.col("feed"), "weight").alias("label"), payload().alias("amount")))
+    return metrics.every_counter(metrics.published(e), counter_processor_events(spark, sf_dir), weights)
+
+
+@query
+def summary_statistics(spark, sf_dir):
+    return metrics.statistics(events(spark, sf_dir), "feed", "value")
+
+
+@query
+def counter_ring_delta(spark, sf_dir):
+    samples = events(spark, sf_dir).select(F.col("feed").alias("label"), scalar.epoch_ms(F.col("ts")).alias("ts_ms"), F.col("event_id").alias("value"))
+    now = samples.groupBy("label").agg((F.max("value") + 100).alias("value"))
+    return metrics.ring_delta(samples, now, samples.agg(F.max("ts_ms")).first()[0] + 10_000, 60_000)
+
+
+@query
+def timer_wheel(spark, sf_dir):
+    timers = flow.fire_times(events(spark, sf_dir), scalar.epoch_ms(F.col("ts")), payload(), tick_ms=flow.TICK_MS)
+    return flow.polls(timers, "event_id").select("event_id", "fire_ms", "poll")
+
+
+@query
+def audit_listing(spark, sf_dir):
+    """Captures on disk and live ones; a processor that has both is listed as live."""
+    e = events(spark, sf_dir)
+    live = e.where(F.col("feed").isin("click", "view") & (F.col("ts") >= ntz("2024-01-15")))
+    return introspect.audit_list(introspect.audit(e, "feed", "props"), introspect.audit(live, "feed", "props"))
+
+
+@query
+def retry_attempts(spark, sf_dir):
+    """A handler that fails for some events, with an error that is retried and with one that isn't."""
+
+    def handle(event_id: int) -> int:
+        if event_id % 5 == 3:
+            raise RuntimeError("busy")
+        if event_id % 5 == 4:
+            raise ValueError("bad")
+        return event_id * 2
+
+    tried = retry.attempted(events(spark, sf_dir).select("event_id"), handle, "event_id", "bigint", retry.RetryPolicy(initial_ms=0))
+    return tried.select("event_id", "result", F.col("attempts").cast("bigint").alias("attempts"), "error")
+
+
+@query
+def poison_drop(spark, sf_dir):
+    return retry.dead_letters(retry.schedule(events(spark, sf_dir), F.col("event_id") % 5)).select("event_id", "attempts", "severity")
+
+
+@query
+def clock_units(spark, sf_dir):
+    ns = scalar.epoch_us(F.col("ts")) * 1000 + 7
+    return events(spark, sf_dir).select("event_id", scalar.ns_to_us(ns).alias("us"), scalar.ns_to_ms(ns).alias("ms"))
+
+
+@query
+def time_in_text(spark, sf_dir):
+    text = F.concat_ws(" ", F.col("feed"), F.concat(F.lit("time="), scalar.epoch_ms(F.col("ts")).cast("string")), F.concat("feed", F.lit("-out")))
+    return events(spark, sf_dir).select("event_id", F.concat("feed", F.lit("-out")).alias("mapped"), scalar.time_in(text).alias("time_ms"))

@@ -74,4 +74,28 @@ SELECT feed, grp, string_agg(processor, ',' ORDER BY processor) AS processors FR
  SELECT chk, i, t, t AS last_eval, true AS evaluated FROM e WHERE i = 1
  UNION ALL SELECT e.chk, e.i, e.t, CASE WHEN e.t - r.last_eval >= 3600000 THEN e.t ELSE r.last_eval END, e.t - r.last_eval >= 3600000 FROM r JOIN e ON e.chk = r.chk AND e.i = r.i + 1)
 SELECT chk, i, evaluated FROM r""",
+    "file_sink_written": """SELECT CAST(event_id AS VARCHAR) || ',' || event_type AS line FROM events""",
+    "pipe_stream": """SELECT feed, count(*) AS n FROM (SELECT 'big.' || event_type AS feed FROM events WHERE value > 100) GROUP BY feed""",
+    "mapper_isolation": """WITH m AS (SELECT event_type AS feed, TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE CAST(event_id AS VARCHAR) END AS BIGINT) AS v FROM events)
+SELECT feed, count(*) AS published, count(*) FILTER (WHERE v IS NULL) AS failed, sum(v)::BIGINT AS mapped FROM m GROUP BY feed""",
+    "broadcast_unwrap": """SELECT event_id, CASE WHEN event_type = 'error' THEN value * 2 ELSE value END AS value FROM events""",
+    "counter_processor_events": """WITH subs(processor, feed) AS (VALUES ('p1','purchase'),('p1','signup'),('p2','purchase'),('p3','error'))
+SELECT 'processor.' || s.processor || '.events' AS label, count(*) AS value FROM events e JOIN subs s ON e.event_type = s.feed GROUP BY s.processor""",
+    "counters_every": """WITH subs(processor, feed) AS (VALUES ('p1','purchase'),('p1','signup'),('p2','purchase'),('p3','error'))
+SELECT 'feed.' || event_type || '.published' AS label, count(*) AS value FROM events GROUP BY event_type
+UNION ALL SELECT 'processor.' || s.processor || '.events', count(*) FROM events e JOIN subs s ON e.event_type = s.feed GROUP BY s.processor
+UNION ALL SELECT 'feed.' || event_type || '.weight', sum(CAST(json_extract_string(props,'$.k') AS BIGINT))::BIGINT FROM events GROUP BY event_type""",
+    "summary_statistics": """SELECT event_type AS feed, count(value) AS n, min(value) AS min_v, max(value) AS max_v, sum(CAST(value AS DECIMAL(28,6)))::DOUBLE AS sum_v, sum(CAST(value AS DECIMAL(28,6)))::DOUBLE / count(value) AS avg_v FROM events GROUP BY event_type""",
+    "counter_ring_delta": """WITH s AS (SELECT event_type AS label, epoch_us(ts) // 1000 AS ts_ms, event_id AS value FROM events), m AS (SELECT max(ts_ms) + 10000 AS now_ms FROM s),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ts_ms DESC) AS rn FROM s) WHERE rn <= 60),
+b AS (SELECT label, coalesce(arg_max(value, ts_ms) FILTER (WHERE ts_ms <= (SELECT now_ms FROM m) - 60000), arg_min(value, ts_ms)) AS base FROM k GROUP BY label)
+SELECT label, (max(s.value) + 100 - any_value(base))::BIGINT AS delta FROM s JOIN b USING (label) GROUP BY label""",
+    "timer_wheel": """WITH t AS (SELECT event_id, ((epoch_us(ts) // 1000 + CAST(json_extract_string(props,'$.k') AS BIGINT) + 1023) // 1024) * 1024 AS fire_ms FROM events)
+SELECT event_id, fire_ms, (row_number() OVER (PARTITION BY fire_ms ORDER BY event_id) - 1) // 100 AS poll FROM t""",
+    "audit_listing": """WITH a AS (SELECT event_type AS processor, event_type IN ('click','view') AS is_live, props, ts FROM events WHERE event_type NOT IN ('click','view') OR ts >= TIMESTAMP '2024-01-15')
+SELECT processor, count(*) AS record_count, sum(length(props))::BIGINT AS size_bytes, min(ts) AS started_at, max(ts) AS last_write_at, is_live FROM a GROUP BY processor, is_live""",
+    "retry_attempts": """SELECT event_id, CASE WHEN event_id % 5 < 3 THEN event_id * 2 END AS result, (CASE WHEN event_id % 5 = 3 THEN 3 ELSE 1 END)::BIGINT AS attempts, CASE event_id % 5 WHEN 3 THEN 'RuntimeError: busy' WHEN 4 THEN 'ValueError: bad' END AS error FROM events""",
+    "poison_drop": """SELECT event_id, 3::BIGINT AS attempts, 'ERROR' AS severity FROM events WHERE event_id % 5 >= 3""",
+    "clock_units": """SELECT event_id, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS ms FROM events""",
+    "time_in_text": """SELECT event_id, event_type || '-out' AS mapped, epoch_us(ts) // 1000 AS time_ms FROM events""",
 }
