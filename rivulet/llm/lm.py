@@ -2,8 +2,12 @@
 
 The pieces of an existing vocabulary span a lattice over each word; its arcs carry piece probabilities, and the forward
 recursion in log space sums over all segmentations. A piece never crosses a word's border, so a document's marginal
-log-probability is the sum over its words, and each distinct word is scored once. The vocabulary's scores (ranks) give first
-probabilities by Zipf's law; one round of expectation-maximisation over all training words refits them.
+log-probability is the sum over its words, and each distinct word is scored once.
+
+What weights the arcs is the vocabulary's own scores, by the parameter ``scores``: "ranks" (default, for the vocabulary at hand, a pair-merge one whose
+scores are minus the merges' ranks) takes them as Zipf's law has it, "log" (for a unigram vocabulary) as log-probabilities. With ``rounds`` of
+expectation-maximisation over all training words (default 1) they are the start of a fit; with 0 they stand as they are. The default is 1 as
+ranks alone are no probabilities: on held-out text they cost more than a refitted model.
 
 Word counts are summed over the whole corpus by Spark. For scoring, documents are dealt into lots of about ``lot_chars`` characters; each lot
 asks once for each of its distinct words, so neither vocabulary nor counts are ever held whole by one task.
@@ -34,9 +38,12 @@ _CELLS = 1 << 21
 class Pieces:
     """A sentencepiece vocabulary: pieces as bytes, sorted hashes to find them by, and first probabilities from their ranks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, scores: str = "ranks"):
         import sentencepiece
 
+        if scores not in ("ranks", "log"):
+            raise ValueError(f"scores are ranks or log, not {scores}")
+
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces, weight = [], []
         for i in range(model.get_piece_size()):
@@ -45,7 +52,7 @@ class Pieces:
                 weight.append(1e-3)
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and model.get_score(i) > -1e6:
                 pieces.append(model.id_to_piece(i).encode())
-                weight.append(1000 / (1000 - model.get_score(i)))
+                weight.append(1000 / (1000 - model.get_score(i)) if scores == "ranks" else float(np.exp(model.get_score(i))))
         merged: dict[bytes, float] = {}
         for p, w in zip(pieces, weight):
             merged[p] = merged.get(p, 0) + w
@@ -69,8 +76,8 @@ def _spans(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def pieces(path: str, scores: str = "ranks") -> Pieces:
+    return Pieces(path, scores)
 
 
 def lattices(words: pa.Array, own: Pieces):
@@ -154,13 +161,17 @@ def word_counts(train: DataFrame) -> DataFrame:
     return map_blocks(train.select("text"), per_batch, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def refit(counts: DataFrame, path: str) -> np.ndarray:
-    """Log-probabilities of the pieces (and of no piece, at the end) after one round over the counted words."""
-    first = np.append(pieces(path).first, -np.inf)
+def fitted(counts: DataFrame, path: str, scores: str, rounds: int) -> np.ndarray:
+    """Log-probabilities of the pieces (and of no piece, at the end) after some rounds over the counted words."""
+    first = np.append(pieces(path, scores).first, -np.inf)
+    for _ in range(rounds):
+        first = refit(counts, path, scores, first)
+    return first
+
 
+def refit(counts: DataFrame, path: str, scores: str, first: np.ndarray) -> np.ndarray:
     def per_batch(batch: pa.RecordBatch):
-        own = pieces(path)
-        got = expected(batch.column("word"), batch.column("c").to_numpy().astype(float), own, first)
+        got = expected(batch.column("word"), batch.column("c").to_numpy().astype(float), pieces(path, scores), first)
         there = np.flatnonzero(got)
         yield {"piece": there, "n": got[there]}
 
@@ -172,7 +183,7 @@ def refit(counts: DataFrame, path: str) -> np.ndarray:
         return np.log(n / n.sum())
 
 
-def score_documents(docs: DataFrame, vocabulary: str, folds: int = 10, lot_chars: int = 8_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: str, folds: int = 10, lot_chars: int = 8_000_000, scores: str = "ranks", rounds: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     path = scratch(spark)
@@ -183,13 +194,13 @@ def score_documents(docs: DataFrame, vocabulary: str, folds: int = 10, lot_chars
     size = docs.agg(F.count("*").alias("docs"), F.count(F.when((F.crc32(F.col("doc_id").cast("string")) % folds) != 0, 1)).alias("train"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     ends = size["train"]
     total, kinds = seen["n"] + ends, seen["v"] + (ends > 0)
-    logp = refit(counts, vocabulary)
+    logp = fitted(counts, vocabulary, scores, rounds)
     stop = np.log10((ends + 0.5) / (total + 1))
     go = np.log10(1 - (ends + 0.5) / (total + 1)) if total else np.log10(0.5)
     lots = max(1, -(-size["chars"] // lot_chars))
 
     def score_words(batch: pa.RecordBatch):
-        yield {"word": batch.column("word"), "c": batch.column("c"), "w": log_probability(batch.column("word"), pieces(vocabulary), logp) / np.log(10)}
+        yield {"word": batch.column("word"), "c": batch.column("c"), "w": log_probability(batch.column("word"), pieces(vocabulary, scores), logp) / np.log(10)}
 
     known = materialize(map_blocks(counts, score_words, "word binary, c long, w double"), f"{path}/known")
     dealt = keyed(docs, held_out(folds).alias("held_out")).withColumn("lot", F.pmod("row_key", F.lit(lots)))
@@ -201,7 +212,9 @@ def score_documents(docs: DataFrame, vocabulary: str, folds: int = 10, lot_chars
         words = pa.chunked_array(out, pa.binary()).unique() if len(out) > 1 else pa.chunked_array(out, pa.binary())
         return pa.table({"lot": pa.array(np.full(len(words), table["lot"][0].as_py())), "word": words})
 
-    asked = dealt.groupBy("lot").applyInArrow(ask, "lot long, word binary").join(known, "word", "left")
+    # As many partitions as lots: a task gets one on average, and few more however many there are.
+    dealt = dealt.repartition(int(lots), "lot")
+    asked = dealt.groupBy("lot").applyInArrow(ask, "lot long, word binary").join(known, "word", "left").repartition(int(lots), "lot")
 
     def answer(texts: pa.Table, words: pa.Table) -> pa.Table:
         column = words["word"].combine_chunks()
@@ -210,7 +223,7 @@ def score_documents(docs: DataFrame, vocabulary: str, folds: int = 10, lot_chars
         w = words["w"].to_numpy().copy()
         new = np.flatnonzero(np.isnan(w))
         if len(new):
-            w[new] = log_probability(column.take(pa.array(new)), pieces(vocabulary), logp) / np.log(10)
+            w[new] = log_probability(column.take(pa.array(new)), pieces(vocabulary, scores), logp) / np.log(10)
         h = Words(*buffers(column), SPACED).hash  # a word each
         order = np.argsort(h)
         h, c, w = h[order], c[order], w[order]

@@ -2,15 +2,18 @@
 
 Every line with a word gets features; the field's Viterbi path marks it as content or boilerplate, and the share of a
 document's words on content lines decides whether it is kept. The field is fitted by gradient ascent on its
-log-likelihood over a sample of at most ``sample`` labelled documents of at most ``LINES`` lines (good documents' lines
-are content, low ones' boilerplate unless a first, chainless fit takes a line for content).
+log-likelihood over a sample of at most ``sample`` labelled documents (good documents' lines are content, low ones' boilerplate unless a first,
+chainless fit takes a line for content); of a document with more than ``lines`` lines a stretch of so many takes part in the fit, at a place
+that its doc_id decides. Every document is judged on all of its lines.
 
 Defined results: a null or empty text has no words and fails the base rules; equal rows get equal results; a null doc_id is kept;
-without labels of both kinds every line is content; an empty table gives an empty result.
+without labels of both kinds among the sample every line is content, and the base rules alone decide; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,8 @@ from pyspark.sql import functions as F
 from rivulet.llm.arrow import map_blocks
 from rivulet.llm.words import Words, blocks, covered, in_doc, per_doc_sum, repeated, sums
 
-LINES = 200
+#: Documents with more lines are decoded one by one, the others of a block together.
+TOGETHER = 64
 _NOT_NEWLINE = np.ones(256, bool)
 _NOT_NEWLINE[10] = False
 
@@ -80,24 +84,33 @@ class Lines:
 
 
 def _posterior(score: np.ndarray, there: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(content) of each line, and expected moves; score (documents, lines): of content over boilerplate."""
+    """P(content) of each line, and expected moves; score (documents, lines): of content over boilerplate; there: which lines there are, from the first on.
+
+    Documents are taken by falling length, so that step t works on those that have a line t only.
+    """
+    lengths = there.sum(1)
+    order = np.argsort(-lengths, kind="stable")
+    score, lengths = score[order], lengths[order]
     docs, n = score.shape
-    emit = np.stack([np.zeros_like(score), score], -1)
-    a = np.zeros((docs, n, 2))
-    a[:, 0] = emit[:, 0]
+    many = np.searchsorted(-lengths, -np.arange(n), "left")  # documents with more than t lines
+    a, b = np.zeros((docs, n, 2)), np.zeros((docs, n, 2))
+    a[:, 0, 1] = score[:, 0]
     for t in range(1, n):
-        new = np.logaddexp(a[:, t - 1, :1] + move[0], a[:, t - 1, 1:] + move[1]) + emit[:, t]
-        a[:, t] = np.where(there[:, t, None], new, a[:, t - 1])
-    z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
-    b = np.zeros((docs, n, 2))
+        m = many[t]
+        a[:m, t] = np.logaddexp(a[:m, t - 1, :1] + move[0], a[:m, t - 1, 1:] + move[1])
+        a[:m, t, 1] += score[:m, t]
+    last = a[np.arange(docs), np.maximum(lengths - 1, 0)]
+    z = np.logaddexp(last[:, 0], last[:, 1])
     moves = np.zeros((2, 2))
     for t in range(n - 1, 0, -1):
-        own = b[:, t] + emit[:, t]
-        joint = a[:, t - 1, :, None] + move[None] + own[:, None, :] - z[:, None, None]
-        moves += np.exp(joint[there[:, t]]).sum(0)
-        new = np.logaddexp(own[:, :1] + move[None, :, 0], own[:, 1:] + move[None, :, 1])
-        b[:, t - 1] = np.where(there[:, t, None], new, b[:, t])
-    return np.exp(a[..., 1] + b[..., 1] - z[:, None]), moves
+        m = many[t]
+        own = b[:m, t].copy()
+        own[:, 1] += score[:m, t]
+        moves += np.exp(a[:m, t - 1, :, None] + move[None] + own[:, None, :] - z[:m, None, None]).sum(0)
+        b[:m, t - 1] = np.logaddexp(own[:, :1] + move[None, :, 0], own[:, 1:] + move[None, :, 1])
+    p = np.zeros_like(score)
+    p[order] = np.exp(a[..., 1] + b[..., 1] - z[:, None])
+    return p, moves
 
 
 def fit(documents: list[tuple[np.ndarray, int]], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -105,27 +118,26 @@ def fit(documents: list[tuple[np.ndarray, int]], rounds: int = 60) -> tuple[np.n
     documents = [x for x in documents if len(x[0])]
     if len({q for _, q in documents}) < 2:
         return np.eye(1, FEATURES)[0] * 10, np.zeros((2, 2))
-    n = max(len(x) for x, _ in documents)
-    x = np.zeros((len(documents), n, FEATURES))
-    there = np.zeros((len(documents), n), bool)
-    gold = np.zeros((len(documents), n))
-    for i, (lines, q) in enumerate(documents):
-        x[i, : len(lines)], there[i, : len(lines)], gold[i, : len(lines)] = lines, True, q
-    good = gold.max(1, keepdims=True)
-    weight = there / np.maximum(there.sum(1, keepdims=True), 1)  # a document counts once, however many lines it has
-    weight *= np.where(good, 0.5 / max(good.sum(), 1), 0.5 / max((1 - good).sum(), 1)) * len(documents)
+    size = np.array([len(x) for x, _ in documents])
+    x = np.concatenate([lines for lines, _ in documents])  # a line each; no document is filled up
+    good = np.repeat(np.array([q for _, q in documents], float), size)
+    weight = np.repeat(1 / size, size)  # a document counts once, however many lines it has
+    share = np.where(good, 0.5 / (weight * good).sum(), 0.5 / (weight * (1 - good)).sum()) * weight
     w, move = np.zeros(FEATURES), np.zeros((2, 2))
     for _ in range(300):  # a first fit without the chain
         p = 1 / (1 + np.exp(-(x @ w)))
-        w += 2 * np.einsum("dl,dlf->f", (gold - p) * weight, x) / len(documents) - 1e-4 * w
-    gold = np.where(there & (good == 0), (x @ w > 0).astype(float), gold)
+        w += 2 * ((good - p) * share) @ x - 1e-4 * w
+    gold = np.where(good == 0, (x @ w > 0).astype(float), good)
+    there = np.arange(size.max()) < size[:, None]
+    score, labels = np.zeros(there.shape), np.zeros(there.shape)
+    labels[there] = gold
     pairs = there[:, 1:]
-    seen = np.array([[((gold[:, :-1] == i) & (gold[:, 1:] == j) & pairs).sum() for j in (0, 1)] for i in (0, 1)], float)
-    total = there.sum()
-    for k in range(rounds):
-        p, moves = _posterior(np.where(there, x @ w, 0), there, move)
-        w += 4 * np.einsum("dl,dlf->f", (gold - p) * there, x) / total - 1e-4 * w
-        move += 4 * (seen - moves) / total - 1e-4 * move
+    seen = np.array([[((labels[:, :-1] == i) & (labels[:, 1:] == j) & pairs).sum() for j in (0, 1)] for i in (0, 1)], float)
+    for _ in range(rounds):
+        score[there] = x @ w
+        p, moves = _posterior(score, there, move)
+        w += 4 * (gold - p[there]) @ x / len(x) - 1e-4 * w
+        move += 4 * (seen - moves) / len(x) - 1e-4 * move
     return w, move
 
 
@@ -146,8 +158,43 @@ def viterbi(score: list[float], move: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def sample_lines(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[np.ndarray, int]]:
-    """(features, quality) of at most sample labelled documents, those with the least hashes of their ids."""
+def viterbi_together(scores: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
+    """``viterbi`` of several documents, a line of all at a time; those with more than TOGETHER lines one by one."""
+    out: list = [None] * len(scores)
+    short = sorted((i for i, s in enumerate(scores) if 0 < len(s) <= TOGETHER), key=lambda i: -len(scores[i]))
+    for i, s in enumerate(scores):
+        if len(s) > TOGETHER:
+            out[i] = np.array(viterbi(s.tolist(), move), bool)
+        elif not len(s):
+            out[i] = np.zeros(0, bool)
+    if not short:
+        return out
+    lengths = np.array([len(scores[i]) for i in short])
+    n = int(lengths[0])
+    own = np.zeros((len(short), n))
+    for row, i in enumerate(short):
+        own[row, : lengths[row]] = scores[i]
+    many = np.searchsorted(-lengths, -np.arange(n), "left")
+    best, back = np.zeros((len(short), 2)), np.zeros((len(short), n, 2), np.int8)
+    best[:, 1] = own[:, 0]
+    for t in range(1, n):
+        m = many[t]
+        into = best[:m, :, None] + move[None]  # from, to
+        back[:m, t] = np.stack([into[:, 1, 0] > into[:, 0, 0], into[:, 1, 1] >= into[:, 0, 1]], 1)
+        best[:m] = into.max(1)
+        best[:m, 1] += own[:m, t]
+    label = np.zeros((len(short), n), np.int8)
+    label[np.arange(len(short)), lengths - 1] = best[:, 1] >= best[:, 0]
+    for t in range(n - 1, 0, -1):
+        m = many[t]
+        label[:m, t - 1] = back[np.arange(m), t, label[:m, t]]
+    for row, i in enumerate(short):
+        out[i] = label[row, : lengths[row]].astype(bool)
+    return out
+
+
+def sample_lines(docs: DataFrame, labels: DataFrame, sample: int, most: int) -> list[tuple[np.ndarray, int]]:
+    """(features, quality) of at most sample labelled documents, those with the least hashes of their ids; at most ``most`` lines of each."""
     ids = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     ids = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)  # at most sample rows
     own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
@@ -156,26 +203,25 @@ def sample_lines(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[
         for first, n, data, at in blocks(batch.column("text")):
             lines = Lines(data, at)
             edge = np.concatenate(([0], np.cumsum(lines.lines)))
-            keep = [i for i in range(n) if lines.lines[i] <= LINES]
-            own = batch.slice(first, n).take(pa.array(keep, pa.int64()))
-            yield {"doc_id": own.column("doc_id"), "quality": own.column("quality"), "x": [lines.x[edge[i] : edge[i + 1]].astype("<f4").tobytes() for i in keep]}
+            own = batch.slice(first, n)
+            begin = [a + (zlib.crc32(str(d).encode()) % (b - a - most + 1) if b - a > most else 0) for d, a, b in zip(own.column("doc_id").to_pylist(), edge[:-1].tolist(), edge[1:].tolist())]
+            yield {"doc_id": own.column("doc_id"), "quality": own.column("quality"), "x": [lines.x[a : min(a + most, b)].astype("<f4").tobytes() for a, b in zip(begin, edge[1:].tolist())]}
 
     rows = map_blocks(own.select("doc_id", "quality", "text"), per_batch, "doc_id long, quality int, x binary").collect()
-    return [(np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES).astype(float), r["quality"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    return [(np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES).astype(float), r["quality"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["x"]))]
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_content_lines long, content_share double, kept boolean"
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, least_share: float = 0.5) -> DataFrame:
-    w, move = fit(sample_lines(docs, labels, sample))
+def quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, least_share: float = 0.5, lines: int = 200) -> DataFrame:
+    """The contract's columns, n_lines, n_content_lines and content_share; sample and lines bound the fit only."""
+    w, move = fit(sample_lines(docs, labels, sample, lines))
 
     def per_batch(batch: pa.RecordBatch):
         for first, n, data, at in blocks(batch.column("text")):
             lines = Lines(data, at)
-            edge = np.concatenate(([0], np.cumsum(lines.lines))).tolist()
-            scores = (lines.x @ w).tolist()
-            content = np.array([x for i in range(n) if edge[i] < edge[i + 1] for x in viterbi(scores[edge[i] : edge[i + 1]], move)], bool)
+            content = np.concatenate(viterbi_together(np.split(lines.x @ w, np.cumsum(lines.lines)[:-1]), move))
             share = np.bincount(lines.doc, lines.words * content, n) / np.maximum(lines.n_words, 1)
             failed = (lines.n_words < 20) | (100 * lines.n_repeat_words > 30 * lines.n_words)
             yield {

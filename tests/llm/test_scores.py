@@ -152,6 +152,39 @@ def test_quality_base_and_verdicts(spark):
     assert len(none) == extra.count()
 
 
+def test_quality_on_held_out_labels(spark):
+    """Learned from four folds, judged on the fifth."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = {r.doc_id: r for r in quality.quality(docs, labels.where("crc32(cast(doc_id as string)) % 5 != 0")).collect()}
+    held = [(r.quality, got[r.doc_id]) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and not got[r.doc_id].base_failed]
+    assert len(held) > 500 and sum(bool(q) == g.kept for q, g in held) > 0.95 * len(held)
+    good = [g.kept for q, g in held if q]
+    assert sum(good) > 0.97 * len(good)
+
+
+def test_quality_edges(spark):
+    """An empty table, clashing columns, repeated rows, and documents with very many lines in the fit and in the verdict."""
+    good, bad = "The ferry crossed the wide bay in the morning. It came back at noon with all the mail.", "Menu | Home | $$$ 99 | ### | CLICK"
+    docs = [(i, "\n".join([f"{good} {i}"] * 1 + [f"{good} {i} {k}" for k in range(5)]) if i % 2 else "\n".join(f"{bad} {i} {k}" for k in range(8))) for i in range(80)]
+    docs += [(100, "\n".join(f"{good} {k}" for k in range(30_000))), (101, "\n".join(f"{bad} {k}" for k in range(3_000))), (101, "\n".join(f"{bad} {k}" for k in range(3_000)))]
+    df = spark.createDataFrame([(*r, True, 3) for r in docs], "doc_id long, text string, kept boolean, n_lines int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(100, 1), (101, 0)], "doc_id long, quality int")
+    got = quality.quality(df, labels, lines=50).collect()
+    assert len(got) == 83 and [r.n_lines for r in got if r.doc_id == 100] == [30_000]
+    assert all(r.kept == (r.doc_id % 2 == 1 or r.doc_id == 100) for r in got if not r.base_failed and r.doc_id != 101)
+    assert quality.quality(df.limit(0), labels).count() == 0
+
+
+def test_decoding_together_equals_one_by_one():
+    rng = np.random.default_rng(5)
+    scores = [rng.normal(size=n) for n in [0, 1, 3, 70, 64, 2, 0, 200, 9, 9]]
+    move = rng.normal(size=(2, 2))
+    for s, got in zip(scores, quality.viterbi_together(scores, move)):
+        assert got.astype(int).tolist() == (quality.viterbi(s.tolist(), move) if len(s) else [])
+    assert quality.viterbi_together([np.zeros(0)], move)[0].size == 0
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     for n in (1, 2, 7):
@@ -254,6 +287,39 @@ def test_lattice_sums_all_segmentations():
     assert (counts[:-1] * own.lengths).sum() == pytest.approx(2 * 6)
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_document_scores_equal_a_plain_recursion(spark, tmp_path, rounds):
+    """Every document's log-probability, from the same piece probabilities, word by word and byte by byte."""
+    rnd = random.Random(3)
+    vocab = ["the", "nation", "été", "日本", "running", "x9", "zzz", "lighthouse"]
+    docs = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(12)))) for i in range(60)] + [(100, None), (101, "neverseen the")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    own = lm.pieces(PIECES)
+    train = [(d, t) for d, t in docs if zlib.crc32(str(d).encode()) % 10]
+    counts = Counter(w for _, t in train for w in spaced(t, lower=True))
+    table = spark.createDataFrame([(w.encode(), c) for w, c in counts.items()], "word binary, c long")
+    logp = lm.fitted(table, PIECES, "ranks", rounds)
+    number = {h: i for i, h in enumerate(own.hashes.tolist())}
+
+    def probability(word):
+        b, a = "▁".encode() + word.encode(), [1.0]
+        for j in range(1, len(b) + 1):
+            spans = [(i, number.get(int(lm._spans(np.frombuffer(b[i:j], np.uint8), np.array([0, j - i]))[0]))) for i in range(max(0, j - own.longest), j)]
+            a.append(sum(a[i] * math.exp(logp[p]) for i, p in spans if p is not None))
+        return a[-1]
+
+    total = sum(counts.values()) + len(train)
+    stop = (len(train) + 0.5) / (total + 1)
+    for r in lm.score_documents(df, PIECES, rounds=rounds, lot_chars=300).collect():
+        words = spaced(dict(docs)[r.doc_id], lower=True)
+        assert r.score == pytest.approx(sum(math.log10(probability(w)) + math.log10(1 - stop) for w in words) + math.log10(stop), rel=1e-9)
+    if rounds:  # the fit is likelier on its training words than its start
+        start = lm.fitted(table, PIECES, "ranks", 0)
+        arrays = pa.array([w.encode() for w in counts], pa.binary())
+        weight = np.array(list(counts.values()))
+        assert (lm.log_probability(arrays, own, logp) * weight).sum() > (lm.log_probability(arrays, own, start) * weight).sum()
+
+
 def test_scores_equal_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     docs += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "y " * 9000), (10**6 + 2, "y " * 9000), (None, "only here"), (10**6 + 3, "z" * 3000)]
