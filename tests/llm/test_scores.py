@@ -217,6 +217,51 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
+def lexical_pages(hosts, seed):
+    """URLs under one suffix: on bad hosts long, deep and full of digits and parameters. Only hosts below 20 have a rule."""
+    rnd = random.Random(seed)
+    rows = []
+    for h in range(hosts):
+        for k in range(12):
+            bad = h % 2 == 0
+            path = "/".join(("".join(rnd.choice("0123456789abcdef") for _ in range(9)) if bad else rnd.choice(["news", "about", "team"])) for _ in range(rnd.randrange(4, 7) if bad else rnd.randrange(1, 3)))
+            tail = "?" + "&".join(f"p{i}={rnd.randrange(10**6)}" for i in range(4)) if bad else ""
+            rows.append((100 * h + k, f"http://host{h}.com/{path}{tail}"))
+    return rows, [(f"host{h}.com", "/", "block" if h % 2 == 0 else "allow") for h in range(20)]
+
+
+def test_trees_judge_hosts_they_never_saw_by_their_urls(spark):
+    """All hosts share a suffix, so the suffix decides nothing; accuracy on hosts without a label, by host."""
+    rows, rules = lexical_pages(40, 1)
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    by_host = {}
+    for r in got:
+        if r.rule is None:
+            by_host.setdefault(r.host, []).append((r.verdict == "block") == (int(r.host[4:-4]) % 2 == 0))
+    assert len(by_host) == 20
+    assert all(sum(x) > 0.9 * len(x) for x in by_host.values())
+
+
+def test_suffix_statistics_leave_the_own_host_out(spark, tmp_path):
+    rows = [(f"http://a{i}.zz/{k}", "zz") for i in range(6) for k in range(3)] + [("http://only.yy/", "yy"), ("http://free.yy/", None)]
+    df = spark.createDataFrame([(u, 1.0 if s == "zz" else 0.0 if s else None) for u, s in rows], "url string, label double")
+    df = urls.parsed(df).withColumn("suffix", urls.suffix())
+    table = {(r.suffix, r.fold): r for r in urls.suffix_statistics(df, f"file://{tmp_path}/s").collect()}
+    own = {r.host: (r.suffix, r.fold) for r in df.withColumn("fold", urls.fold()).collect()}
+    prior = 6 / 7
+    assert table[own["only.yy"]].suffix_blocked == pytest.approx(2 * prior / 2)  # nothing but the prior: its own label isn't there
+    assert table[own["only.yy"][0], -1].suffix_blocked == pytest.approx(2 * prior / 3)
+    fold = own["a0.zz"]
+    others = sum(own[f"a{i}.zz"][1] != fold[1] for i in range(6))
+    assert table[fold].suffix_blocked == pytest.approx((others + 2 * prior) / (others + 2))
+
+
+def test_very_long_urls(spark):
+    long = "http://a.net/" + "x9/" * 300_000
+    got = urls.filter_urls(spark.createDataFrame([(1, long), (2, "http://b.org/fr/x"), (3, "http://c.io/" + "?a=1" * 100_000)], "page_id long, url string")).collect()
+    assert {r.page_id: (r.rule, len(r.path)) for r in got} == {1: ("net/", 900_001), 2: ("org/fr/", 5), 3: (None, 1)}
+
+
 def test_toxicity_by_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
