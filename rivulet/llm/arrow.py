@@ -14,14 +14,20 @@ from pyspark.sql.types import StructType
 from rivulet.llm.workspace import materialize
 
 
-def map_blocks(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """df.mapInArrow where per_batch yields dicts of columns (numpy, lists or Arrow)."""
+def map_blocks(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, after: Callable[[], None] | None = None) -> DataFrame:
+    """df.mapInArrow where per_batch yields dicts of columns (numpy, lists or Arrow). after is called at a partition's end: workers are used
+    again, and what they hold would lie beside the memory of later stages."""
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for batch in batches:
-            for columns in per_batch(batch):
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in fields)], schema=fields)
+        try:
+            for batch in batches:
+                for columns in per_batch(batch):
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in fields)], schema=fields)
+        finally:
+            if after:
+                after()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
             take = pa.array(doc, pa.int64())
             yield {"doc_id": own.column("doc_id").take(take), "row_key": own.column("row_key").take(take), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
 
-    return map_blocks(keyed(docs), per_batch, PIECES)
+    return map_blocks(keyed(docs), per_batch, PIECES, after=lambda: encoder(vocabulary).forget())
 
 
 # -- the plan: numpy over a histogram of bounded size, on the driver --------------------------------------------------

@@ -131,7 +131,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, width:
     """width: "<u2" for vocabularies of up to 65,536 ids, else "<u4". Shards of about shard_docs documents, so their number grows with the input."""
     columns = "doc_id long, row_key long, n_tokens long, digests array<binary>, after array<int>, fresh array<binary>"
     with passing(docs.sparkSession) as stage:
-        _write(map_blocks(keyed(docs), _encode(vocabulary, end_id, width), columns), stage, path, shard_docs)
+        _write(map_blocks(keyed(docs), _encode(vocabulary, end_id, width), columns, after=lambda: encoder(vocabulary, *MEMO).forget()), stage, path, shard_docs)
 
 
 def _write(encoded: DataFrame, stage: str, path: str, shard_docs: int) -> None:

@@ -14,7 +14,7 @@ from functools import lru_cache
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of a generation; an entry takes about 190 bytes, and workers that are used again keep their memos.
+#: Entries of a generation; an entry takes about 190 bytes. Memos last for a partition.
 WORD_MEMO, PIECE_MEMO = 400_000, 100_000
 # The splitting patterns of the two public vocabularies.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -71,6 +71,12 @@ class Encoder:
         self.words = Memo(self._spaced if byte_level else self._word, words)
         self.encode = self._encode_spaced if byte_level else self._encode_words if word_end else self._whole
 
+    def forget(self) -> None:
+        """Empties the memos; the vocabulary stays."""
+        for memo in (self.words, self.pieces):
+            memo.clear()
+            memo.old = {}
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
