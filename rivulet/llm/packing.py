@@ -31,8 +31,8 @@ SHARES = (1.0, 0.98, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.35, 0.2, 0.1, 0.0)
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
-    """doc_id, row_key, piece, start, length, ids_crc32 of every piece."""
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, forget: bool = False) -> DataFrame:
+    """doc_id, row_key, piece, start, length, ids_crc32 of every piece. forget: whether a partition's end empties the memo of words."""
 
     def per_batch(batch: pa.RecordBatch):
         make = encoder(vocabulary).encode
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
             take = pa.array(doc, pa.int64())
             yield {"doc_id": own.column("doc_id").take(take), "row_key": own.column("row_key").take(take), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
 
-    return map_blocks(keyed(docs), per_batch, PIECES, after=lambda: encoder(vocabulary).forget())
+    return map_blocks(keyed(docs), per_batch, PIECES, after=(lambda: encoder(vocabulary).forget()) if forget else None)
 
 
 # -- the plan: numpy over a histogram of bounded size, on the driver --------------------------------------------------
@@ -241,9 +241,10 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     return found.select(*items.columns, (F.col("base") + F.col("r") % F.col("many")).alias("sequence_id"), (F.col("at") + F.col("length") * F.floor(F.col("r") / F.col("many"))).alias("offset"))
 
 
-def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, forget: bool = False) -> DataFrame:
+    """forget: for jobs with other stages that need memory; the memos of workers, up to some 200 MB each, then end with a partition."""
     path = scratch(docs.sparkSession)
-    return pack(materialize(pieces(docs, vocabulary, end_id, capacity), f"{path}/pieces"), capacity).drop("row_key")
+    return pack(materialize(pieces(docs, vocabulary, end_id, capacity, forget), f"{path}/pieces"), capacity).drop("row_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Token ids of texts, by the ``tokenizers`` library and a public vocabulary file.
 
 Merges never cross the borders that the vocabulary's splitting pattern sets, so a text is cut at white space and each
-distinct piece is encoded once; two generations of a bounded memo keep the frequent ones.
+distinct piece is encoded once; two generations of a bounded memo keep the frequent ones. Workers serve many partitions, so a memo that is kept saves work
+in the next one; one that is forgotten leaves its memory to other stages.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import lru_cache
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of a generation; an entry takes about 190 bytes. Memos last for a partition.
+#: Entries of a generation; an entry takes about 190 bytes.
 WORD_MEMO, PIECE_MEMO = 400_000, 100_000
 # The splitting patterns of the two public vocabularies.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -90,7 +91,8 @@ class Encoder:
         if body.isalpha():
             return self._piece(text)  # a piece of its own is remembered as a word
         if body[:-1].isalpha() and body[-1] in ".,":
-            return self.pieces[text[:-1]] + self.pieces[body[-1]]
+            known = self.words[body[:-1]] if len(body) < len(text) or pattern is WORD_END else self.pieces[text[:-1]]  # a space goes before byte-level words
+            return known + self.pieces[body[-1]]
         if text.isascii() or _PLAIN.fullmatch(text):
             return b"".join(map(self.pieces.__getitem__, pattern.findall(text)))
         return self._whole(text)
