@@ -127,11 +127,12 @@ def merkle_roots(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy("shard").applyInArrow(root, "shard int, docs long, tokens long, root string")
 
 
-def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, width: str = "<u2", shard_docs: int = SHARD_DOCS) -> None:
-    """width: "<u2" for vocabularies of up to 65,536 ids, else "<u4". Shards of about shard_docs documents, so their number grows with the input."""
+def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, width: str = "<u2", shard_docs: int = SHARD_DOCS, forget: bool = False) -> None:
+    """width: "<u2" for vocabularies of up to 65,536 ids, else "<u4". Shards of about shard_docs documents, so their number grows with the input.
+    forget: whether a partition's end empties the memo of words, for jobs with other stages that need memory."""
     columns = "doc_id long, row_key long, n_tokens long, digests array<binary>, after array<int>, fresh array<binary>"
     with passing(docs.sparkSession) as stage:
-        _write(map_blocks(keyed(docs), _encode(vocabulary, end_id, width), columns, after=lambda: encoder(vocabulary, *MEMO).forget()), stage, path, shard_docs)
+        _write(map_blocks(keyed(docs), _encode(vocabulary, end_id, width), columns, after=(lambda: encoder(vocabulary, *MEMO).forget()) if forget else None), stage, path, shard_docs)
 
 
 def _write(encoded: DataFrame, stage: str, path: str, shard_docs: int) -> None:
@@ -139,7 +140,11 @@ def _write(encoded: DataFrame, stage: str, path: str, shard_docs: int) -> None:
     encoded.write.option("compression", "zstd").parquet(f"{stage}/encoded")
     encoded = spark.read.schema(schema).parquet(f"{stage}/encoded")
     fresh = encoded.select(F.explode(F.arrays_zip("digests", "fresh")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.fresh").alias("data")).where("data is not null")
-    fresh.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    # Chunks that only one recipe place names need no aggregate over data; the others pass one.
+    twice = encoded.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    twice = materialize(twice, f"{stage}/twice")
+    chunks = fresh.join(twice, "digest", "left_anti").unionByName(fresh.join(twice, "digest", "left_semi").dropDuplicates(["digest"]))
+    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     def place(batches):
         at = start = 0
