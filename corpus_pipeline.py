@@ -29,7 +29,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), forget=True)
 
 
 STAGES = [
