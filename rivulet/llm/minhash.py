@@ -10,6 +10,10 @@ similarity of 0.85 shares a table with a probability of 0.9998.
 4. Where a bucket still holds documents of different components, pairs across components are compared that a prefix filter lets pass.
 5. Components come from star steps over the links.
 
+Before texts are compared, parities rule out pairs: bit j of a set's parity tells whether an odd number of its shingles hash to j. Wherever two
+parities differ, the sets differ in at least one shingle, so a pair with more differing bits than a link's sets may have differing shingles is no link.
+Among near copies of one text, which miss the threshold by a few shingles, almost no pair but the links is left.
+
 No bucket is capped, and none is gathered in one place: sets are compared in lots of bounded size.
 
 Rows are told apart by doc_id and text. Sets are equal where their sizes and two independent 64-bit sums of mixed shingle hashes are; links
@@ -25,10 +29,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.arrow import each_once, keyed, map_blocks
+from rivulet.llm.arrow import each_once, keyed, list_array, map_blocks
 from rivulet.llm.graph import components
 from rivulet.llm.words import Words, blocks, mix, per_doc_sum, signed
 from rivulet.llm.workspace import materialize, scratch
@@ -38,6 +42,7 @@ SHINGLE, ROWS, SIDES = 5, 3, 10
 _SEEDS = np.random.default_rng(85).integers(0, 2**63, (2 * SIDES, ROWS), dtype=np.uint64) * _U(2) + _U(1)
 _NAMES = [f"{side}{i}" for side in "lr" for i in range(SIDES)]
 LOT = 200_000
+PARITY = 16  # words of 64 bits; pairs at 0.8 are told from links up to about 1,500 shingles, longer ones less often
 
 
 def shingle_sets(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +87,26 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_blocks(keyed(docs), per_batch, "doc_id long, row_key long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{x} long" for x in _NAMES))
 
 
+def parities(texts: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, parity of each row of texts (doc_id, n_shingles, text)."""
+
+    def per_batch(batch: pa.RecordBatch):
+        for first, n, data, at in blocks(batch.column("text")):
+            doc, h = shingle_sets(Words(data, at, lower=True))
+            bits = np.zeros(n * PARITY, _U)
+            place = mix(h ^ _U(0x8CB92BA72F3D8DD7))
+            np.bitwise_xor.at(bits, doc * PARITY + (place >> _U(6)).astype(np.int64) % PARITY, _U(1) << (place & _U(63)))
+            yield {"doc_id": batch.column("doc_id").slice(first, n), "n_shingles": batch.column("n_shingles").slice(first, n), "parity": list_array(pa.array(signed(bits)), np.full(n, PARITY), pa.int64())}
+
+    return map_blocks(texts.select("doc_id", "n_shingles", "text"), per_batch, "doc_id long, n_shingles long, parity array<long>")
+
+
+def may_link(part: int, whole: int) -> Column:
+    """Whether parities p and q of sets of m and n shingles differ in no more bits than sets of a link differ in shingles."""
+    differing = " + ".join(f"bit_count(p[{i}] ^ q[{i}])" for i in range(PARITY))
+    return F.expr(f"({differing}) * {part + whole} <= {whole - part} * (m + n)")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, part: int, whole: int, path: str) -> DataFrame:
     """Pairs (a, b) whose sets have part * |union| <= whole * |intersection|; texts: doc_id, n_shingles, text.
 
@@ -110,12 +135,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, part: int, whole: int, path: s
     return left.unionAll(right).groupBy("a", "lot").applyInArrow(compare, "a long, b long")
 
 
-def pairs_across(docs: DataFrame, texts: DataFrame, part: int, whole: int, path: str) -> DataFrame:
+def pairs_across(docs: DataFrame, texts: DataFrame, marks: DataFrame, part: int, whole: int, path: str) -> DataFrame:
     """Pairs (a, b) of different components among docs (doc_id, n_shingles, component) that the sizes and prefixes of their sets let pass.
 
     Shingles are ordered by rarity among docs. With o the shingles that a pair must share, the first one that both have must leave at least o in
     either set, itself included. Shingles of one document only come first and take places, but join nothing: near copies with more edits than the
-    threshold bears have used up their places by then, so a large group of them makes no pairs.
+    threshold bears have used up their places by then, so a large group of them makes no pairs. Of those with fewer edits, marks (doc_id, parity)
+    let pass hardly more than the links; they are part of the join's condition, so that the others never become rows.
     """
 
     def spread(batch: pa.RecordBatch):
@@ -132,10 +158,12 @@ def pairs_across(docs: DataFrame, texts: DataFrame, part: int, whole: int, path:
     prefix = docs.join(ordered, "doc_id").select("doc_id", "n_shingles", "component", alone.alias("alone"), F.slice("s", 1, F.greatest(places - alone, F.lit(0)).cast("int")).alias("s"))
     prefix = prefix.select("doc_id", "n_shingles", "component", "alone", F.posexplode("s").alias("i", "t")).select("doc_id", "n_shingles", "component", (F.col("alone") + F.col("i")).alias("place"), F.col("t.shingle").alias("shingle"))
     prefix = materialize(prefix, f"{path}/prefix")
-    x = prefix.select("shingle", F.col("doc_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("ca"), F.col("place").alias("pa"))
-    y = prefix.select("shingle", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("component").alias("cb"), F.col("place").alias("pb"))
+    meeting = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
+    prefix = materialize(prefix.join(meeting, "shingle").join(marks.select("doc_id", "parity"), "doc_id"), f"{path}/meeting")
+    x = prefix.select("shingle", F.col("doc_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("ca"), F.col("place").alias("pa"), F.col("parity").alias("p"))
+    y = prefix.select("shingle", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("component").alias("cb"), F.col("place").alias("pb"), F.col("parity").alias("q"))
     shared = F.expr(f"least(m - pa, n - pb) * {part + whole} >= {part} * (m + n) and {whole} * least(m, n) >= {part} * greatest(m, n)")
-    return x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & shared).select("a", "b").distinct()
+    return x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & shared & may_link(part, whole)).select("a", "b").distinct()
 
 
 def classes_of(docs: DataFrame, part: int, whole: int, path: str) -> DataFrame:
@@ -154,6 +182,9 @@ def classes_of(docs: DataFrame, part: int, whole: int, path: str) -> DataFrame:
     wanted = members.select(F.col("doc_id").alias("row_key"), "n_shingles").distinct()
     texts = each_once(docs, f"{path}/twice").join(wanted, "row_key").withColumnRenamed("row_key", "doc_id")
     texts = materialize(texts, f"{path}/texts")
+    marks = materialize(parities(texts), f"{path}/marks")
+    left = marks.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("m"), F.col("parity").alias("p"))
+    right = marks.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("parity").alias("q"))
 
     fits = F.expr(f"{whole} * least(n_shingles, m) >= {part} * greatest(n_shingles, m)")
     compared = links = None
@@ -167,6 +198,7 @@ def classes_of(docs: DataFrame, part: int, whole: int, path: str) -> DataFrame:
         led = placed.join(leader, "key").where("doc_id != a").select("a", F.col("doc_id").alias("b"), "n_shingles", F.col("component").alias("cb")).distinct()
         ends = placed.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("ca")).distinct()
         pairs = led.join(ends, "a").where(fits & (F.col("ca") != F.col("cb"))).select("a", "b")
+        pairs = pairs.join(left, "a").join(right, "b").where(may_link(part, whole)).select("a", "b")
         pairs = materialize(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), f"{path}/pairs{k}")
         compared = pairs if compared is None else compared.unionAll(pairs)
         found = materialize(confirmed(pairs, texts, part, whole, f"{path}/lots{k}"), f"{path}/links{k}")
@@ -176,7 +208,7 @@ def classes_of(docs: DataFrame, part: int, whole: int, path: str) -> DataFrame:
 
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     open_ = materialize(placed.join(mixed, "key"), f"{path}/open")
-    across = pairs_across(open_.select("doc_id", "n_shingles", "component").distinct(), texts, part, whole, path)
+    across = pairs_across(open_.select("doc_id", "n_shingles", "component").distinct(), texts, marks, part, whole, path)
     rest = materialize(across.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), f"{path}/rest")
     links = links.unionAll(confirmed(rest, texts, part, whole, f"{path}/lots"))
 

@@ -87,6 +87,41 @@ def test_recall_close_to_the_threshold(spark):
     assert not any(got[d + 1] == d for d, near in pairs.items() if not near)
 
 
+def test_near_copies_below_the_threshold_make_few_pairs(spark, tmp_path):
+    """Copies with two edits each, without their original: any two share so much that sizes and prefixes let them pass, few are links."""
+    rnd = random.Random(300)
+    base = [f"w{i}" for i in range(174)]
+    rows = []
+    for k in range(300):
+        words = base[:]
+        first = rnd.randrange(5, 160)
+        for place in (first, rnd.randrange(first + 6, 169)):
+            words[place] = f"e{k}x{place}"
+        rows.append((k, " ".join(words)))
+    path = f"file://{tmp_path}/c"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component for r in minhash.classes_of(docs, 85, 100, path).collect()}
+    want = components(rows)
+    groups = [sorted(sorted(d for d in found if named[d] == c) for c in set(named.values())) for named in (found, {d: c for d, (_, c) in want.items()})]
+    assert groups[0] == groups[1] and 20 < len(groups[0]) < 280
+    assert sum(spark.read.parquet(f"{path}/{name}").count() for name in ("pairs1", "pairs2", "rest")) < 2 * len(rows)
+
+
+def test_parities_never_differ_in_more_bits_than_sets_in_shingles(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(4)}" for _ in range(rnd.choice([1, 4, 9, 200, 3000]))) for _ in range(30)] + ["", " ", "w0"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "0L n_shingles", "text")
+    marks = {r.doc_id: [x % 2**64 for x in r.parity] for r in minhash.parities(rows).collect()}
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits = sum((x ^ y).bit_count() for x, y in zip(marks[i], marks[j], strict=True))
+            assert bits <= len(a ^ b) and bits % 2 == len(a ^ b) % 2
+
+
 def test_star_steps(spark, tmp_path):
     rnd = random.Random(7)
     links = [(i, i + 1) for i in range(200)] + [(300, 300 + i) for i in range(1, 80)] + [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(70)]
