@@ -12,7 +12,7 @@ similarity of 0.85 shares a table with a probability of 0.9998.
 
 Before texts are compared, parities rule out pairs: bit j of a set's parity tells whether an odd number of its shingles hash to j. Wherever two
 parities differ, the sets differ in at least one shingle, so a pair with more differing bits than a link's sets may have differing shingles is no link.
-Among near copies of one text, which miss the threshold by a few shingles, almost no pair but the links is left.
+No link is lost. Among near copies of one text, which miss the threshold by a few shingles, two to three times as many pairs as links are left.
 
 No bucket is capped, and none is gathered in one place: sets are compared in lots of bounded size.
 
@@ -141,7 +141,7 @@ def pairs_across(docs: DataFrame, texts: DataFrame, marks: DataFrame, part: int,
     Shingles are ordered by rarity among docs. With o the shingles that a pair must share, the first one that both have must leave at least o in
     either set, itself included. Shingles of one document only come first and take places, but join nothing: near copies with more edits than the
     threshold bears have used up their places by then, so a large group of them makes no pairs. Of those with fewer edits, marks (doc_id, parity)
-    let pass hardly more than the links; they are part of the join's condition, so that the others never become rows.
+    let pass few besides the links; they are part of the join's condition, so that the others never become rows.
     """
 
     def spread(batch: pa.RecordBatch):
